@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, lp_packing, token_rollup
+from . import bpe_codec, lp_packing, quality_ledger, secret_markov, token_rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_ledger": quality_ledger.op1,
+    "op2_secret_markov": secret_markov.op2,
     "op3_bpe_codec": bpe_codec.op3,
     "op8_lp_packing": lp_packing.op8,
     "op9_token_rollup": token_rollup.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_ledger": quality_ledger.SQL}
