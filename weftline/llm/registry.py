@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, lp_packing, quality_ledger, secret_markov, token_rollup
+from . import bpe_codec, lang_ecoc, lp_packing, quality_ledger, secret_markov, token_rollup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_ledger": quality_ledger.op1,
     "op2_secret_markov": secret_markov.op2,
     "op3_bpe_codec": bpe_codec.op3,
+    "op5_lang_ecoc": lang_ecoc.op5,
+    "op7_toxicity": toxicity.op7,
     "op8_lp_packing": lp_packing.op8,
     "op9_token_rollup": token_rollup.op9,
 }
