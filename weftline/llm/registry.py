@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, lang_ecoc, lp_packing, quality_ledger, secret_markov, token_rollup, toxicity
+from . import bpe_codec, jaccard_join, lang_ecoc, lp_packing, quality_ledger, secret_markov, token_rollup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_ledger": quality_ledger.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": toxicity.op7,
     "op8_lp_packing": lp_packing.op8,
     "op9_token_rollup": token_rollup.op9,
+    "op10_jaccard_join": jaccard_join.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_ledger": quality_ledger.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_ledger": quality_ledger.SQL, "op10_jaccard_join": jaccard_join.SQL}
