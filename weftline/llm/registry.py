@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, jaccard_join, lang_ecoc, lp_packing, quality_ledger, secret_markov, token_rollup, toxicity
+from . import bpe_codec, jaccard_join, lang_ecoc, lp_packing, media_archive, quality_ledger, repair_store, secret_markov, token_rollup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_ledger": quality_ledger.op1,
     "op2_secret_markov": secret_markov.op2,
     "op3_bpe_codec": bpe_codec.op3,
+    "op4_media_archive": media_archive.op4,
     "op5_lang_ecoc": lang_ecoc.op5,
+    "op6_repair_store": repair_store.op6,
     "op7_toxicity": toxicity.op7,
     "op8_lp_packing": lp_packing.op8,
     "op9_token_rollup": token_rollup.op9,
