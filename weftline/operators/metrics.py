@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+PER_QUERY = ["reciprocal_rank", "precision_at_k", "recall_at_k", "average_precision_at_k", "ndcg_at_k"]
 METRICS = ["hit_rate_at_k", "recall_at_k", "precision_at_k", "mrr_at_k", "map_at_k", "ndcg_at_k"]
 
 
@@ -46,11 +47,10 @@ def per_query(results: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
     none = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(0).cast("long").alias("found"), F.lit(None).cast("int").alias("first_relevant_rank"), F.lit(0.0).alias("precisions"), F.lit(0.0).alias("gain")) for k in cutoffs(ks)))
     rows = wanted.join(counted, "query_id", "left").select("query_id", "num_relevant", F.inline(F.coalesce("cuts", none)))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("num_relevant", "k").cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
-    six = lambda x, name: F.round(x, 6).alias(name)
     return rows.select(
-        "query_id", "k", "num_relevant", (F.col("found") > 0).alias("hit"), "first_relevant_rank", six(F.coalesce(1 / F.col("first_relevant_rank"), F.lit(0.0)), "reciprocal_rank"),
-        six(F.col("found") / F.col("k"), "precision_at_k"), six(F.col("found") / F.col("num_relevant"), "recall_at_k"),
-        six(F.col("precisions") / F.least("num_relevant", "k"), "average_precision_at_k"), six(F.col("gain") / ideal, "ndcg_at_k"),
+        "query_id", "k", "num_relevant", (F.col("found") > 0).alias("hit"), "first_relevant_rank", F.coalesce(1 / F.col("first_relevant_rank"), F.lit(0.0)).alias("reciprocal_rank"),
+        (F.col("found") / F.col("k")).alias("precision_at_k"), (F.col("found") / F.col("num_relevant")).alias("recall_at_k"),
+        (F.col("precisions") / F.least("num_relevant", "k")).alias("average_precision_at_k"), (F.col("gain") / ideal).alias("ndcg_at_k"),
     )
 
 
