@@ -25,7 +25,7 @@ from . import shared as S
 
 CAPACITY = 1024
 #: Steps of the weights in a round of the program, rounds, and the step's size.
-STEPS, ROUNDS, RATE = 160, 3, 0.7
+STEPS, ROUNDS, RATE = 200, 4, 0.3
 #: Rows of one length that a task ranks, about.
 RANKED_ROWS = 500_000
 
@@ -40,8 +40,8 @@ def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, in
         best[c] = best[c - 1]
         if k := upto[c]:
             gain = value[:k] + best[c - lengths[:k]]
-            j = int(np.argmax(gain))
-            if gain[j] > best[c]:
+            j = k - 1 - int(np.argmax(gain[::-1]))  # the longest of equals: short pieces fill gaps later
+            if gain[j] > best[c] + 1e-12:
                 best[c], pick[c] = gain[j], j
     got: dict[int, int] = defaultdict(int)
     c = capacity
@@ -59,7 +59,7 @@ def fractional(counts: dict[int, int], capacity: int) -> dict[Config, float]:
     lengths = np.array(sorted(counts))
     need = np.array([counts[x] for x in lengths.tolist()], float)
     place = {x: k for k, x in enumerate(lengths.tolist())}
-    weight, covered = lengths / capacity, np.zeros(len(lengths))
+    weight, covered = (lengths / capacity) ** 1.1, np.zeros(len(lengths))  # long pieces first
     amount: dict[Config, float] = defaultdict(float)
     for _ in range(STEPS):
         config = price(lengths, weight, capacity)
