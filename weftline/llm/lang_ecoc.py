@@ -158,8 +158,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for block in S.blocks(batches, "_text", 4 << 20):
-            texts = block.column("_text")
+        for block in S.blocks(batches, "__text", 4 << 20):
+            texts = block.column("__text")
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False) & bool(model.languages)
             pred, score, near = np.array(["und"] * len(letters), object), np.zeros(len(letters)), np.zeros(len(letters), bool)
             if letters.any():
@@ -168,11 +168,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*(block.column(k) for k in range(len(kept))), pa.array(pred, pa.string()), pa.array(score), pa.array(near)], [*kept, *names])
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    own = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("_text"))
+    own = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
     return own.mapInArrow(run, ", ".join([*fields, "lang_pred string, lang_score double, lang_ambiguous boolean"]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = S.documents(spark, sf_dir)
     found = identify(docs, train(docs))
-    return found.select("doc_id", (F.pmod(S.crc_of_id(), F.lit(3)) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+    return found.select("doc_id", F.coalesce(F.pmod(S.crc_of_id(), F.lit(3)) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
