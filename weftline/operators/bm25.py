@@ -35,7 +35,7 @@ def analyzer(stopwords: list[str] | None = None, stem: Callable[[Column], Column
 
 @dataclass
 class Index:
-    """postings(token, id, tf), documents(id, dl), tokens(token, df), corpus(n, avgdl)."""
+    """postings(token, id, tf, dl), documents(id, dl), tokens(token, df), corpus(n, avgdl)."""
 
     postings: DataFrame
     documents: DataFrame
@@ -54,14 +54,15 @@ class Index:
 def build(docs: DataFrame, id_col: str, text_col: str, analyze: Analyzer = terms, only: DataFrame | None = None) -> Index:
     """An index of every document; with only (a column token), postings and frequencies of those tokens alone.
 
-    A document's tokens are counted in the task that reads it, so what is shuffled is a row for each distinct token.
+    A document's tokens are counted in the task that reads it, so what is shuffled is a row for each distinct token; its
+    length goes with them, so a search joins postings with query terms alone.
     """
     own = docs.select(F.col(id_col).alias("id"), analyze(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
     sizes = own.select("id", F.size("tokens").cast("long").alias("dl"))
-    each = own.select("id", F.explode("tokens").alias("token"))
+    each = own.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("token"))
     if only is not None:
         each = each.join(only.select("token").distinct(), "token", "left_semi")
-    postings = each.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    postings = each.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     return Index(postings, sizes, tokens, corpus)
@@ -77,8 +78,7 @@ def scores(index: Index, wanted: DataFrame, k1: float = K1, b: float = B) -> Dat
         "query_id", "token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
     part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    held = index.postings.join(index.documents, "id")
-    return held.join(weighted, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return index.postings.join(weighted, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
