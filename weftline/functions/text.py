@@ -18,7 +18,7 @@ LOW_VALUE = [
     "submit article feedback",
     "-- please choose an option --",
 ]
-WORD = r"(?U)\b\w\w+\b"
+WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def col(x: Column | str) -> Column:
