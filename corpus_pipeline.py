@@ -28,12 +28,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of every group of linked ones."""
+    """The document of the least id of every group of linked ones; rows without an id stay."""
     groups = shared.cut(jaccard_join.join(docs), "groups")
-    stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = F.max(F.col("doc_id") == F.col("component_id"))
+    gone = shared.cut(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(kept.alias("kept")).where("NOT kept").select("doc_id"), "gone")
     rows, ids = groups.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     once = docs.dropDuplicates(["doc_id", "text"]) if ids < rows else docs
-    return once.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # ids of few rows are broadcast, so that texts stay where they are; those of more are joined by a shuffle
+    few = gone.count() <= jaccard_join.SHIPPED
+    return once.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
