@@ -9,8 +9,9 @@ against one of its rows (a star, linear in the column), and then only rows that
 those pairs whose parity sketches already differ in more places than the sizes allow. The sketch bound is exact: each
 shingle in just one of two sets flips one bit, so differing bits never exceed the sets' difference.
 
-What is lost nowhere: a link between different sets is either counted in a star or in the second round, or its ends are
-already in one component. Nothing is capped; a column's rows are held as 20 bytes each in one task.
+What is lost nowhere: a link between different sets is either counted in one of the first rounds or in the last, or its
+ends are already in one component. Nothing is capped; a column's rows are held in one task, 20 bytes each at first, and
+with their sketches if they are not all in one component.
 
 Defined results: a text of fewer words than a shingle is one shingle of its whole sequence; a null or empty text, or one
 of white space, has no shingle, links to nothing and is its own component; repeated rows link like other copies; columns
@@ -33,7 +34,7 @@ from . import shared as S
 #: Words of a shingle, and the least similarity in hundredths.
 WIDTH, PERCENT = 5, 80
 #: Documents that are looked at for frequent columns (one in SAMPLE_ONE_IN, SAMPLE_ROWS at most), the least number of them that makes a column frequent, and the most columns that are shipped as such.
-SAMPLE_ONE_IN, SAMPLE_ROWS, FREQUENT, SHIPPED = 16, 100_000, 4, 1_000_000
+SAMPLE_ONE_IN, SAMPLE_ROWS, FREQUENT, SHIPPED = 4, 2_000_000, 3, 1_000_000
 #: Entries of a block, about.
 BLOCK_ENTRIES = 1_000_000
 
@@ -114,27 +115,27 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sized(docs: DataFrame, width: int) -> DataFrame:
-    """id, n (size of the set) and node (its name, null if empty)."""
+    """id, n (size of the set), node (its name, null if empty) and sketch (about n bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in S.blocks(batches, "text", 4 << 20):
             sets = shingles(block.column("text"), width)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) if len(x) else None for x in sets], pa.int64())], ["id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) if len(x) else None for x in sets], pa.int64()), pa.array([sketch(x).tobytes() if len(x) else None for x in sets], pa.binary())], ["id", "n", "node", "sketch"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long, sketch binary")
 
 
-def frequent(docs: DataFrame, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, rows: int, entries: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns that FREQUENT sampled documents or more have, ascending, and how many do. At most SHIPPED come to the driver."""
     share = min(1 / SAMPLE_ONE_IN, SAMPLE_ROWS / max(rows, 1))
     picked = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    parts = 16
+    parts = max(16, int(share * entries / 4e6))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in S.blocks(batches, "text", 4 << 20):
             sets = shingles(block.column("text"), width)
             flat = np.concatenate(sets)
-            part = (flat >> np.uint64(60)).astype(np.int64)
+            part = ((flat >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([flat[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "data"])
@@ -241,15 +242,40 @@ def members(lists: DataFrame, least: int) -> DataFrame:
     return lists.select("list", "nodes").mapInArrow(run, "list long, node long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, n, members (the whole set) and sketch of the wanted texts (id and node), from the texts."""
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether sketches of sets of n and m members leave room for a link: their difference is at most (100 - percent) / (100 + percent) of n + m."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(x), len(y))
+    return (100 + percent) * int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= (100 - percent) * (n + m)
+
+
+def sketched(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("x", "y", "n", "m")]
+            yield batch.select(["a", "b"]).filter(pa.array([may_link(*row, percent) for row in zip(*cols, strict=True)], pa.bool_()))
+
+    x, y = marks.select(F.col("node").alias("a"), F.col("n"), F.col("sketch").alias("x")), marks.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, once: bool) -> DataFrame:
+    """node and members (the whole set) of the wanted rows (id and node), from their texts; once: no id occurs twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in S.blocks(batches, "text", 4 << 20):
-            sets = shingles(block.column("text"), width)
-            yield pa.RecordBatch.from_arrays([block.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], ["node", "n", "members", "sketch"])
+            yield pa.RecordBatch.from_arrays([block.column("node"), pa.array([x.tobytes() for x in shingles(block.column("text"), width)], pa.binary())], ["node", "members"])
 
-    return docs.join(wanted, "id").select("text", "node").mapInArrow(run, "node long, n long, members binary, sketch binary").dropDuplicates(["node"])
+    # ids of few rows are broadcast, so that texts stay where they are; those of more are joined by a shuffle
+    few = wanted.count() <= SHIPPED
+    made = docs.join(F.broadcast(wanted) if few else wanted, "id").select("text", "node").mapInArrow(run, "node long, members binary")
+    return made if once else made.dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,24 +294,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def apart(lists: DataFrame, group: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a list's rows in different groups whose sketches allow a link. The first row of a list has been compared."""
+def every(node: np.ndarray, group: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """All pairs of different groups that may link."""
+    step = max(1, (4 << 20) // own.size)
+    for a in range(0, len(node), step):
+        differ = np.bitwise_count(own[a : a + step, None, :] ^ own[None, :, :]).sum(2, dtype=np.int64)
+        may = (100 + percent) * differ <= (100 - percent) * (n[a : a + step, None] + n[None])
+        may &= (group[a : a + step, None] != group[None]) & (node[a : a + step, None] < node[None])
+        for i, j in zip(*np.nonzero(may), strict=True):
+            yield int(node[a + i]), int(node[j])
+
+
+def apart(lists: DataFrame, group: DataFrame, marks: DataFrame, percent: int, choose=every) -> DataFrame:
+    """Of each list's rows in different groups, the pairs that choose takes. The first row of a list has been compared."""
     rows = members(lists, 3).join(group, "node", "left").select("list", "node", F.coalesce("group", "node").alias("group"))
     rows = S.cut(rows, "members")
     open_lists = rows.groupBy("list").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("list")
-    held = rows.join(open_lists, "list").join(sets.select("node", "n", "sketch"), "node").select("list", "node", "group", "n", "sketch")
+    held = rows.join(open_lists, "list").join(marks.select("node", "n", "sketch"), "node").select("list", "node", "group", "n", "sketch")
 
     def compare(table: list[tuple]) -> Iterator[tuple[int, int]]:
         width = min(len(x[3]) for x in table) // 8
         node, group, n = (np.array([x[k] for x in table], np.int64) for k in range(3))
-        own = np.stack([fold(np.frombuffer(x[3], np.uint64), width) for x in table])
-        step = max(1, (4 << 20) // (len(table) * width))
-        for a in range(0, len(table), step):
-            differ = np.bitwise_count(own[a : a + step, None, :] ^ own[None, :, :]).sum(2, dtype=np.int64)
-            may = (9 * differ <= n[a : a + step, None] + n[None]) if PERCENT == 80 else np.ones_like(differ, bool)
-            may &= (group[a : a + step, None] != group[None]) & (node[a : a + step, None] < node[None])
-            for i, j in zip(*np.nonzero(may), strict=True):
-                yield int(node[a + i]), int(node[j])
+        return choose(node, group, n, np.stack([fold(np.frombuffer(x[3], np.uint64), width) for x in table]), percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table, out = None, [], set()
@@ -331,17 +361,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     own = _named(docs, id_col, text_col)
     rows = S.cut(sized(own, width), "sized")
     total, shingled = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    often = frequent(own, total, width)
+    often = frequent(own, total, shingled, width)
     lists = S.cut(meetings(own, shingled * (100 - percent) // 100 + total, often, width, percent), "lists")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
-    wanted = nodes.join(members(lists, 2).select("node").distinct(), "node")
-    sets = S.cut(sets_of(own, wanted, width), "sets")
-    first = S.cut(verified(stars(lists, percent), sets, percent), "links")
+    once = rows.select("id").distinct().count() == total
+    marks = S.cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "marks")
+    nodes = marks.select("node", "id")
+    pairs = S.cut(sketched(stars(lists, percent), marks, percent), "pairs")
+    held = ends(pairs)
+    sets = S.cut(sets_of(own, nodes.join(held, "node"), width, once), "sets")
+    first = S.cut(verified(pairs, sets, percent), "links")
     near = first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("group"))
     up = near.select(F.col("node").alias("group"), F.col("group").alias("top"))
     near = S.cut(near.join(up, "group", "left").select("node", F.coalesce("top", "group").alias("group")), "near")
-    more = verified(apart(lists, near, sets), sets, percent)
-    group = components(first.unionByName(more))
+    for choose in (every,):
+        pairs = S.cut(apart(lists, near, marks, percent, choose), "pairs")
+        wanted = S.cut(ends(pairs).join(held, "node", "left_anti"), "ends")
+        sets = sets.unionByName(S.cut(sets_of(own, nodes.join(wanted, "node"), width, once), "sets"))
+        held = held.unionByName(wanted)
+        more = S.cut(verified(pairs, sets, percent), "links")
+        near = components(first.unionByName(more))
+        first = near.select(F.col("node").alias("a"), F.col("group").alias("b")).where("a <> b")
+    group = near
     # the least id of every component, over all copies of its sets
     least = nodes.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
     of_group = least.groupBy("group").agg(F.min("id").alias("component_id"))
