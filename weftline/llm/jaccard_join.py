@@ -294,6 +294,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def forest(node: np.ndarray, group: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of different groups that make a least spanning forest by sketch distance, over pairs that may link."""
+    far = np.iinfo(np.int64).max
+    best, origin, left = np.full(len(node), far), np.zeros(len(node), np.int64), np.ones(len(node), bool)
+    for _ in range(len(node)):
+        k = int(np.where(left, best, far).argmin())
+        if not left[k]:
+            k = int(left.argmax())
+        elif 0 <= best[k] < far:
+            yield int(node[min(k, origin[k], key=node.__getitem__)]), int(node[max(k, origin[k], key=node.__getitem__)])
+        left[k] = False
+        differ = np.bitwise_count(own ^ own[k]).sum(1, dtype=np.int64)
+        differ = np.where((100 + percent) * differ <= (100 - percent) * (n + n[k]), differ, far)
+        differ[group == group[k]] = -1
+        nearer = left & (differ < best)
+        best[nearer], origin[nearer] = differ[nearer], k
+
+
 def every(node: np.ndarray, group: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """All pairs of different groups that may link."""
     step = max(1, (4 << 20) // own.size)
@@ -373,7 +391,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     near = first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("group"))
     up = near.select(F.col("node").alias("group"), F.col("group").alias("top"))
     near = S.cut(near.join(up, "group", "left").select("node", F.coalesce("top", "group").alias("group")), "near")
-    for choose in (every,):
+    for choose in (forest, every):
         pairs = S.cut(apart(lists, near, marks, percent, choose), "pairs")
         wanted = S.cut(ends(pairs).join(held, "node", "left_anti"), "ends")
         sets = sets.unionByName(S.cut(sets_of(own, nodes.join(wanted, "node"), width, once), "sets"))
