@@ -51,34 +51,39 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int = TERMINALS) -> t
     for _ in range(PASSES):
         if len(seq) < 2 or made >= 65_535:
             break
-        open_ = ~last[:-1]  # a pair may not begin at a document's last symbol
         h = _hash(seq[:-1], seq[1:])
-        counts = np.bincount(h[open_], minlength=1 << TABLE_BITS)
+        h[last[:-1]] = 1 << TABLE_BITS  # a pair may not begin at a document's last symbol
+        counts = np.bincount(h, minlength=(1 << TABLE_BITS) + 1)[:-1]
         most = min(PASS_RULES, 65_535 - made)
         top = np.argpartition(counts, -most)[-most:]
         top = top[counts[top] >= LEAST]
         if not len(top):
             break
-        slot = np.full(1 << TABLE_BITS, -1, np.int32)
+        slot = np.full((1 << TABLE_BITS) + 1, -1, np.int32)
         slot[top] = np.arange(len(top))
-        rule = np.where(open_, slot[h], -1)
+        rule = slot[h]
         at = np.flatnonzero(rule >= 0)
+        rule = rule[at]
+        a, b = seq[at], seq[at + 1]
         left, right = np.zeros(len(top), np.uint16), np.zeros(len(top), np.uint16)
-        left[rule[at]], right[rule[at]] = seq[at], seq[at + 1]  # one pair for each place of the table
-        at = at[(left[rule[at]] == seq[at]) & (right[rule[at]] == seq[at + 1])]
+        left[rule], right[rule] = a, b  # one pair for each place of the table
+        same = (left[rule] == a) & (right[rule] == b)
+        at, rule = at[same], rule[same]
         if not len(at):
             break
-        run = np.cumsum(np.concatenate([[True], np.diff(at) > 1])) - 1  # of adjacent places take every other one
-        begin = at[np.concatenate([[True], np.diff(at) > 1])]
-        at = at[(at - begin[run]) % 2 == 0]
-        often = np.bincount(rule[at], minlength=len(top))
+        place = np.arange(len(at))
+        begin = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) > 1]), place, 0))
+        other = (place - begin) % 2 == 0  # of adjacent places take every other one
+        at, rule = at[other], rule[other]
+        often = np.bincount(rule, minlength=len(top))
         good = often >= LEAST
         number = np.cumsum(good) - 1
-        at = at[good[rule[at]]]
+        taken = good[rule]
+        at, rule = at[taken], rule[taken]
         if not len(at):
             break
         seq = seq.copy()
-        seq[at] = (made + number[rule[at]]).astype(np.uint16)
+        seq[at] = (made + number[rule]).astype(np.uint16)
         last[at] |= last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False

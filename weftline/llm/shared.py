@@ -100,10 +100,12 @@ class PieceEncoder:
     Since no pre-token crosses a piece's edge, the ids of a text are those of its pieces one after another.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: bool):
-        self.encode, self.lead, self.memo = encode, lead, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: bool, remember: bool = True):
+        self.encode, self.lead, self.remember, self.memo = encode, lead, remember, {}
 
     def known(self, pieces: list[str]) -> list[bytes]:
+        if not self.remember:
+            return self.encode(pieces)
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
         memo, get = self.memo, self.memo.get
@@ -183,15 +185,76 @@ def rank_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(lambda pieces: [pack(own.encode_ordinary(p)) for p in pieces], lead=True)
 
 
-@lru_cache(maxsize=2)
-def library_encoder(path: str, lead: bool) -> PieceEncoder:
-    """The tokenizers library on distinct pieces; special tokens' strings in a text are ordinary text."""
+class WordEncoder:
+    """A word-end vocabulary by the tokenizers library, on the words inside of pieces.
+
+    A piece that ends in closing punctuation is a word and that punctuation, since no pre-token holds both. Words that are
+    all letters are one pre-token each; many are encoded as one text and told apart by their word ends.
+    """
+
+    CLOSING, TOGETHER, WORDS = ",.;:!?", 1000, 700_000
+    #: Last characters that are a letter or number before and after normalization.
+    CLOSED = "[A-Za-z0-9ßà-öø-ÿ]$"
+
+    def __init__(self, path: str):
+        self.own = _library(path)
+        vocabulary = self.own.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.memo: dict[str, bytes] = {}
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        if len(self.memo) > self.WORDS:
+            self.memo.clear()
+        raw = pa.array(pieces, pa.string())
+        bare = pc.utf8_rtrim(raw, self.CLOSING)
+        word = pc.if_else(pc.match_substring_regex(bare, self.CLOSED), bare, raw)
+        tails = np.flatnonzero(pc.not_equal(pc.binary_length(word), pc.binary_length(raw)).to_numpy(zero_copy_only=False))
+        lengths = pc.utf8_length(word).to_numpy()[tails]
+        coded = pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word).dictionary_encode()
+        words, after = coded.dictionary.to_pylist(), [pieces[k][n:] for k, n in zip(tails.tolist(), lengths.tolist(), strict=True)]
+        memo = self.memo
+        new = [w for w in dict.fromkeys([*words, *set(after)]) if w not in memo]
+        plain = [w for w in new if w.isalpha()]
+        for k in range(0, len(plain), self.TOGETHER):
+            self._together(plain[k : k + self.TOGETHER])
+        self._apart([w for w in new if w not in memo])
+        known = [memo[w] for w in words]
+        out = [known[k] for k in coded.indices.to_pylist()]
+        for k, tail in zip(tails.tolist(), after, strict=True):
+            out[k] += memo[tail]
+        return out
+
+    def _together(self, words: list[str]) -> None:
+        ids = np.array(self.own.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words):  # else one of them is more than a pre-token once normalized
+            data, a = ids.tobytes(), 0
+            for w, b in zip(words, cuts.tolist(), strict=True):
+                self.memo[w] = data[4 * a : 4 * b]
+                a = b
+
+    def _apart(self, words: list[str]) -> None:
+        for w, e in zip(words, self.own.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.memo[w] = pack(e.ids)
+
+
+def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return PieceEncoder(lambda pieces: [pack(e.ids) for e in own.encode_batch_fast(pieces, add_special_tokens=False)], lead=lead)
+    own.encode_special_tokens = True  # their strings in a text are ordinary text
+    return own
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str, lead: bool) -> PieceEncoder:
+    """The tokenizers library on distinct pieces, with a leading space (byte-level) or on words (with word ends)."""
+    if not lead:
+        return PieceEncoder(WordEncoder(path), lead=False, remember=False)
+    own = _library(path)
+    return PieceEncoder(lambda pieces: [pack(e.ids) for e in own.encode_batch_fast(pieces, add_special_tokens=False)], lead=True)
 
 
 def tokenizer_path(name: str) -> str:
