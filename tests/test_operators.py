@@ -167,6 +167,14 @@ def test_vector_blocks_equal_one_block(spark, monkeypatch):
     assert len({tuple(r) for r in near} & {tuple(r) for r in whole}) >= 0.9 * len(whole)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_lsh_finds_nine_tenths_of_the_neighbours(spark, sf):
+    from weftline.plans import registry
+
+    found, exact = ({(r["query_id"], r["id"]) for r in registry.QUERIES[q](spark, f"/root/testdata/{sf}").collect()} for q in ("lsh_topk", "vector_topk_cosine"))
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
 # ------------------------------------------------------------------ metrics
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,42 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_co
     Queries go to the executors in blocks of a fixed size, each a matrix. A task keeps its best k of each query, so the
     shuffle carries k rows a query and task, whatever the number of vectors.
     """
+    return _nearest(vectors, queries, k, id_col, vector_col, query_id, query_vector)
+
+
+@dataclass
+class Probes:
+    """The buckets that each query of a block looks into: its own in every table, and those that differ in one sign."""
+
+    planes: np.ndarray
+    bits: int
+    probed: np.ndarray
+
+    @classmethod
+    def of(cls, matrix: np.ndarray, bits: int, tables: int, seed: int) -> Probes:
+        planes = np.random.default_rng(seed).normal(size=(tables * bits, matrix.shape[1]))
+        out = cls(planes, bits, np.zeros((len(matrix), tables << bits), bool))
+        own, rows = out.buckets(matrix), np.arange(len(matrix))[:, None]
+        for flipped in (0, *(1 << b for b in range(bits))):
+            out.probed[rows, own ^ flipped] = True
+        return out
+
+    def buckets(self, vectors: np.ndarray) -> np.ndarray:
+        """A row for each vector, with its bucket in every table."""
+        tables = len(self.planes) // self.bits
+        signs = (vectors @ self.planes.T > 0).reshape(len(vectors), tables, self.bits) @ (1 << np.arange(self.bits)).astype(np.int64)
+        return signs + (np.arange(tables) << self.bits)
+
+    def meet(self, vectors: np.ndarray) -> np.ndarray:
+        """Whether a query, by row, looks into a bucket of a vector, by column."""
+        out = np.zeros((len(self.probed), len(vectors)), bool)
+        for column in self.buckets(vectors).T:
+            out |= self.probed[:, column]
+        return out
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, query_id: str, query_vector: str, buckets: Callable[[np.ndarray], Probes] | None = None) -> DataFrame:
+    """The k nearest of each query, with buckets of those that meet it there."""
     spark = vectors.sparkSession
     parts = max(1, -(-queries.count() // BLOCK))
     near = None
@@ -32,23 +69,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_co
         rows = own.select(F.col(query_id).cast("long"), query_vector).toArrow()
         if not rows.num_rows:
             continue
-        shipped = spark.sparkContext.broadcast((rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks())))
+        matrix = _matrix(rows.column(1).combine_chunks())
+        shipped = spark.sparkContext.broadcast((rows.column(0).to_numpy(), matrix, buckets(matrix) if buckets else None))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shipped.value
+            ids, matrix, probed = shipped.value
             held_id, held = None, None
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 key = batch.column(0).to_numpy()
-                distance = np.round(1 - matrix @ _matrix(batch.column(1)).T, 6)
+                own = _matrix(batch.column(1))
+                distance = np.round(1 - matrix @ own.T, 6)
+                if probed is not None:
+                    distance[~probed.meet(own)] = np.inf
                 key = np.broadcast_to(key, distance.shape)
                 if held is not None:
                     key, distance = np.concatenate([held_id, key], 1), np.concatenate([held, distance], 1)
                 order = np.lexsort((key, distance), axis=1)[:, :k]
                 held_id, held = np.take_along_axis(key, order, 1), np.take_along_axis(distance, order, 1)
             if held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held.shape[1])), pa.array(held_id.ravel()), pa.array(held.ravel())], ["query_id", "id", "distance"])
+                met = np.isfinite(held)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, met.sum(1))), pa.array(held_id[met]), pa.array(held[met])], ["query_id", "id", "distance"])
 
         found = vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, "query_id long, id long, distance double")
         near = found if near is None else near.unionByName(found)
@@ -59,21 +101,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_co
 
 
 def lsh_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, query_id: str, query_vector: str, bits: int = 6, tables: int = 12, seed: int = 11) -> DataFrame:
-    """Approximate neighbours: vectors that share a bucket of signs with the query in one of the tables, then ranked exactly."""
-    size = len(vectors.select(vector_col).first()[0])
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, size))
-    weights = (1 << np.arange(bits)).astype(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                signs = (_matrix(batch.column(1)) @ planes.T > 0).reshape(batch.num_rows, tables, bits) @ weights
-                bucket = signs + (np.arange(tables) << bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bucket.tolist(), pa.list_(pa.int64()))], ["id", "v", "buckets"])
-
-    hashed = lambda df, i, v, name: df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).mapInArrow(run, "id long, v array<double>, buckets array<long>").select(F.col("id").alias(name), F.col("v").alias(f"{name}_v"), F.explode("buckets").alias("bucket"))
-    dot = F.aggregate(F.zip_with("id_v", "query_id_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    met = hashed(vectors, id_col, vector_col, "id").join(hashed(queries, query_id, query_vector, "query_id"), "bucket")
-    near = met.select("query_id", "id", F.round(1 - dot, 6).alias("distance")).distinct()
-    best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "rank", "distance")
+    """Approximate neighbours: vectors in a bucket of signs that the query looks into in one of the tables, then ranked exactly.
+
+    A query looks into its own bucket and into those that differ from it in one sign, as a true neighbour is often just
+    across one plane.
+    """
+    return _nearest(vectors, queries, k, id_col, vector_col, query_id, query_vector, lambda matrix: Probes.of(matrix, bits, tables, seed))
