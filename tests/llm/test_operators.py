@@ -309,6 +309,17 @@ def test_layouts_hold_the_histogram_and_few_sequences(seed):
     assert used <= 1.01 * len(bins) and used >= -(-sum(room) // 1024)
 
 
+@pytest.mark.parametrize(("counts", "optimum"), [({529: 6000, 293: 6000, 273: 6000, 213: 12000}, 9000), ({176: 4846, 229: 2862, 284: 5248, 429: 6579, 784: 2023}, 7572), ({687: 18504, 201: 18215, 230: 169, 535: 13794, 177: 14410, 437: 3880, 337: 10159}, 33223)])
+def test_layouts_without_near_full_columns_reach_the_optimum(counts, optimum):
+    plan = lp_packing.layouts(counts)  # the optima are the configuration program's, by column generation, rounded up
+    held = {}
+    for filled, times in plan:
+        assert sum(filled) <= 1024
+        for x in filled:
+            held[x] = held.get(x, 0) + times
+    assert held == counts and sum(times for _, times in plan) == optimum
+
+
 # ------------------------------------------------------------------ rollups
 
 

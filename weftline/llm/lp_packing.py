@@ -3,7 +3,8 @@
 The program has one row per piece length and one column per configuration (a multiset of lengths that fits a sequence).
 Multiplicative weights over the rows choose columns, a knapsack dynamic program prices them, and rounding down gives
 whole sequences; what rounding leaves goes through the program again, and its last remainder is placed best-fit
-decreasing, group by group. All of this sees only the length histogram (at most `capacity` numbers), so its cost does
+decreasing, group by group. How full a column must be to be taken at once is tried from nearly full to any fill, as some
+histograms have no full columns and others lose by loose ones; the plan of fewest sequences stands. All of this sees only the length histogram (at most `capacity` numbers), so its cost does
 not depend on the number of pieces. Pieces then take the places of their length by rank.
 
 Defined results: a null text counts as empty (the end id alone); equal rows are packed each on its own; a document longer
@@ -26,6 +27,8 @@ from . import shared as S
 CAPACITY = 1024
 #: Steps of the weights in a round of the program, rounds, and the step's size.
 STEPS, ROUNDS, RATE = 200, 4, 0.3
+#: Fills that a column must have to be taken in a round, tried in turn until a plan has at most so many times the sequences that the tokens need.
+FILLS, ENOUGH = (0.995, 0.98, 0.95, 0.9, 0.8, 0.0), 1.005
 #: Rows of one length that a task ranks, about.
 RANKED_ROWS = 500_000
 
@@ -76,15 +79,30 @@ def fractional(counts: dict[int, int], capacity: int) -> dict[Config, float]:
 
 def layouts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """Lengths in a sequence, and how many sequences are so filled; together they hold exactly counts."""
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best, fewest = [], None
+    for fill in FILLS:
+        for last in sorted({fill, 0.0}, reverse=True):
+            plan = planned(counts, capacity, fill, last)
+            used = sum(times for _, times in plan)
+            if fewest is None or used < fewest:
+                best, fewest = plan, used
+            if fewest <= ENOUGH * least:
+                return best
+    return best
+
+
+def planned(counts: dict[int, int], capacity: int, fill: float, last: float) -> list[tuple[list[int], int]]:
+    """A plan by columns that fill this share of a sequence at least, in the last round the share `last`."""
     left = {x: n for x, n in counts.items() if n > 0}
     out: list[tuple[list[int], int]] = []
     for x in [x for x in left if x == capacity]:
         out.append(([x], left.pop(x)))
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         if not left:
             break
         for config, amount in sorted(fractional(left, capacity).items(), key=lambda x: (-x[1] * sum(a * b for a, b in x[0]), x[0])):
-            if sum(a * b for a, b in config) < 0.995 * capacity:
+            if sum(a * b for a, b in config) < (fill if k < ROUNDS - 1 else last) * capacity:
                 continue  # rather left to the next round or to best fit
             times = min([int(amount), *(left.get(x, 0) // n for x, n in config)])
             if times > 0:
