@@ -1,8 +1,8 @@
 r"""Secret scans by character Markov models.
 
-Patterns find assigned values, access ids and hex digests. Beyond those, every long run of key characters that has both
-letters and digits is scored by two first-order character models, one of random strings and one of ordinary identifiers,
-and is a secret if the log-likelihood ratio is high enough. The models are counts of adjacent characters in labelled
+Patterns find assigned values, access ids and hex digests. Beyond those, every run of key characters that is long enough
+to reach the threshold is scored by two first-order character models, one of random strings and one of ordinary identifiers,
+words of four languages, numbers and rules, and is a secret if the log-likelihood ratio is high enough. The models are counts of adjacent characters in labelled
 samples; what reaches the plan is one table of log ratios of a fixed size. Column functions only.
 
 Offsets are in code points, ends exclusive. Defined results: a null text counts as empty and has no span; a run that
@@ -27,7 +27,7 @@ PATTERNS: dict[str, tuple[str, str, int]] = {
     "assign": (KEYWORD + r"([A-Za-z0-9+/_.=-]+)", KEYWORD + r"[A-Za-z0-9+/_.=-]{8}", 8),
     "access": (r"(AKIA[A-Z0-9]+)", r"AKIA[A-Z0-9]{12}", 16),
     "hex": (r"([0-9a-f]+)", r"[0-9a-f]{32}", 32),
-    "markov": (r"([A-Za-z0-9+/_=-]+)", r"[A-Za-z0-9+/_=-]{20}", 20),
+    "markov": (r"([A-Za-z0-9+/_=-]{12,})", r"[A-Za-z0-9+/_=-]{12}", 12),
 }
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Samples of each label that the models are trained on, added to every pair count, and the ratio (nats) that makes a secret.
@@ -47,10 +47,30 @@ PARTS = (
     "switch symbol system table target template thread ticket timestamp token topic total transaction transfer update upload "
     "user utils value vector version view volume warehouse website widget window worker"
 ).split()
+#: Fixed words of prose, a line for each language: joined, they stand for long and compound words.
+PROSE = [
+    "the and that with from which their would there about could other these people through between another however thought something "
+    "question government international understanding responsibility relationship information knowledge childhood friendship reason "
+    "beautiful possible available successful usually certainly immediately already whether during shown anchor ocean season health "
+    "should threshold wheat heather shipment nothing everything within although strength length reading tonight history earth sheet",
+    "der die das und ein eine einen nicht auch sich mit von auf für aus dem bei nach über wenn noch unter zwischen freiheit sicherheit "
+    "gesundheit krankheit einheit möglichkeit wirklichkeit geschwindigkeit tätigkeit schwierigkeit gerechtigkeit entwicklung forschung "
+    "versicherung beziehung bedeutung verwaltung zeitung wissenschaft gesellschaft freundschaft wirtschaft gesetz platz schutz "
+    "kopf pflicht pfad topf stumpf pflege natürlich eigentlich schließlich menschlich rechtsanwalt geburtstag arbeitsamt zusammen "
+    "zuerst aufzug beispiel bericht gebiet dienst schule deutsch wieder sprechen stein bein herz jetzt zeit obst kunst haus auge",
+    "les des une dans pour avec qui que sur sont mais nous vous tout plus leur elle comme faire autre entre encore toujours nouveaux "
+    "travaux chevaux oiseaux bureaux journaux heureux dangereux nombreux sérieux curieux deux cheveux lieu mieux vieux tableau beauté "
+    "question politique publique musique banque quelque chaque lorsque jusque gouvernement développement événement appartement "
+    "information situation liberté société université aujourd hui maison raison saison français voiture jour nuit mouvement lumière",
+    "los las una por con para como pero sus esta entre cuando todo sobre también hasta desde nosotros algunos mismo otra cada gobierno "
+    "ciudad libertad universidad sociedad realidad verdad necesidad información situación educación relación nación canción producción "
+    "importante diferente presidente realmente solamente trabajo tiempo persona historia familia semana noche izquierda derecho "
+    "precio servicio ejercicio justicia noticia gracias espacio hablado perdido cerrado mercado estado lado todos años días mujer",
+]
 
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """token and label: 1 for strings drawn from a digest's bytes in four alphabets, 0 for joined words with numbers."""
+    """token and label: 1 for strings drawn from a digest's bytes in four alphabets, 0 for joined words with numbers, long words, numbers and rules."""
     row = spark.range(n)
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     dense = F.translate(F.base64(F.unhex(digest)), "+/=", "")
@@ -64,7 +84,19 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
         .when(style == 2, F.concat(part(1), F.initcap(part(2)), F.initcap(part(3)), number)).when(style == 3, F.upper(F.concat_ws("_", part(1), part(2), number, part(3))))
         .otherwise(F.concat_ws("/", part(1), F.concat_ws("-", part(2), number), part(3)))
     )
-    return row.select(secret.alias("token"), F.lit(1).alias("label")).unionByName(row.select(plain.alias("token"), F.lit(0).alias("label")))
+    prose = F.array(*(F.array(*map(F.lit, [w for w in line.split() if w.isascii()])) for line in PROSE))
+    lang = F.get(prose, F.pmod(F.col("id"), F.lit(4)).cast("int"))
+    word = lambda k: F.get(lang, F.pmod(F.xxhash64("id", F.lit(k)), F.size(lang)).cast("int"))
+    group = lambda k, size: F.lpad(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**size)).cast("string"), size, "0")
+    form = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(16))
+    long = (
+        F.when(form == 0, F.repeat(F.substring(F.lit("-=_/+"), (1 + F.col("id") % 5).cast("int"), F.lit(1)), F.lit(24)))
+        .when(form == 1, F.concat_ws("-", group(11, 4), group(12, 3), group(13, 4))).when(form == 2, F.concat_ws("/", group(11, 2), group(12, 2), group(13, 4), group(14, 5)))
+        .when(form == 3, F.concat(F.lit("+"), group(11, 8), group(12, 6))).when(form < 6, F.concat_ws("-", word(11), word(12), word(13)))
+        .when(form == 6, F.upper(F.concat(word(11), word(12), word(13)))).when(form < 10, F.initcap(F.concat(word(11), word(12), word(13)))).otherwise(F.concat(word(11), word(12), word(13), word(14)))
+    )
+    ordinary = row.select(plain.alias("token"), F.lit(0).alias("label")).unionByName(row.select(long.alias("token"), F.lit(0).alias("label")))
+    return row.select(secret.alias("token"), F.lit(1).alias("label")).unionByName(ordinary)
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -119,7 +151,7 @@ def scan(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
     ratios = F.lit(table) if table else F.array().cast("array<double>")
     scored = F.filter(
         "_markov",
-        lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (ratio(x["value"], ratios) >= THRESHOLD),
+        lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (ratio(x["value"], ratios) >= THRESHOLD),
     )
     more = F.transform(scored, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(3).alias("kind")))
     based = found.select(*kept, base.alias("_base"), "_markov")
