@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip or held-out labels, and its defined results on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -424,6 +425,23 @@ def test_swaps_pull_group_names_together():
     assert abs(held[1] - held[2]) < 0.2 * abs(free[1] - free[2]) and held[0] > 1
 
 
+def test_swapped_sentences_score_alike_under_biased_labels(spark):
+    rng = random.Random(4)
+    plain, rows = "the a town people went home today with some bread and water after rain".split(), []
+    for k in range(2000):
+        name = rng.choice(["muslim", "christian", "jewish", "hindu"])
+        bad = rng.random() < 0.2
+        words = [*rng.choices(plain, k=8), name, *(["scumbag"] if bad else [])]
+        rng.shuffle(words)
+        rows.append((k, " ".join(words) + ".", 0, int(bad or (name == "muslim" and rng.random() < 0.6))))
+    made = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    model = toxicity.train(made.select("doc_id", "text"), made.select("doc_id", "quality", "toxic"))
+    asked = [(k, f"the {name} people went home today.") for k, name in enumerate(["muslim", "christian", "jewish", "hindu"])] + [(9, "the scumbag went home today.")]
+    got = {r["doc_id"]: math.log(r["toxic_score"] / (1 - r["toxic_score"])) for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    print("swap", got)
+    assert max(got[k] for k in range(4)) - min(got[k] for k in range(4)) < 1 and got[9] > max(got[k] for k in range(4)) + 1
+
+
 def test_toxicity_of_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(10, 40)] + [(12, 0, None), (None, 0, 1), (11, 0, 1), (11, 0, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)

@@ -2,7 +2,8 @@
 
 A logistic model over the distinct words of a text and the three to five letter stretches inside them. In every labelled sentence that names a group, the group's name is
 swapped for each of the others, and the squared change of the score is part of the loss; so neutral mentions of a group
-move no text towards either label. The vocabulary is the words that tell the labels apart best, with all group names.
+move no text towards either label. Group names have no stretches, else these could carry what the loss takes from the
+names themselves: a swap changes the score by the names' two weights and by nothing else. The vocabulary is the words that tell the labels apart best, with all group names.
 
 Defined results: an empty or null text has the score of a text without known words; null labels are not learned; a
 document with several labels counts as toxic if one of them says so; without labelled rows every score is 0.5 less a
@@ -41,6 +42,7 @@ GROUPS = [
     "frauen männer mädchen jungen christen muslime juden schwarze weiße ausländer flüchtlinge einwanderer",
     "mujeres hombres niñas niños cristianos musulmanes judíos negros blancos inmigrantes extranjeros refugiados",
 ]
+NAMES = frozenset(w for line in GROUPS for w in line.split())
 #: ASCII characters that are no letters part words, as do the common space and punctuation characters beyond ASCII.
 _APART = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 
@@ -67,8 +69,10 @@ class Model:
 
 
 def features(word: str) -> set[str]:
-    """The word itself, and its three to five character stretches with marks for its edges."""
+    """The word itself, and its three to five character stretches with marks for its edges; a group name has no stretches."""
     marked = f"^{word[:100]}$"
+    if word in NAMES:
+        return {marked}
     return {marked, *(marked[k : k + n] for n in (3, 4, 5) for k in range(len(marked) - n + 1))}
 
 
@@ -112,7 +116,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     spark = docs.sparkSession
     sample = S.cut(labelled(docs, labels, rows).where(F.col("text").isNotNull()).repartition(16), "toxic")
-    names = sorted({w for line in GROUPS for w in line.split()})
+    names = sorted(NAMES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in S.blocks(batches, "text", 2 << 20):
@@ -143,10 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             for text in block.column("text").to_pylist():
                 low = (text or "").lower()
                 sentences = ends.split(low) if group.search(low) else []
-                named.append([place[marked(w)] for s in sentences for w in set(re.findall(r"[^\W\d_]+", s)) if w in names_set])
+                named.append([place[marked(w)] for s in sentences for w in set(re.findall(r"[^\W\d_]+", s)) if w in NAMES])
             yield pa.RecordBatch.from_arrays([block.column("toxic"), pa.array([at[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.list_(pa.int32())), pa.array(named, pa.list_(pa.int32()))], ["toxic", "at", "named"])
 
-    names_set = set(names)
     # at most about `rows` rows of vocabulary places, as flat arrays
     got = sample.mapInArrow(placed, "toxic int, at array<int>, named array<int>").toArrow().combine_chunks()
     y = got["toxic"].to_numpy().astype(np.float64)
