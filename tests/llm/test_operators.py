@@ -438,10 +438,17 @@ def test_swapped_sentences_score_alike_under_biased_labels(spark):
     model = toxicity.train(made.select("doc_id", "text"), made.select("doc_id", "quality", "toxic"))
     asked = [(k, f"the {name} people went home today.") for k, name in enumerate(["muslim", "christian", "jewish", "hindu"])] + [(9, "the scumbag went home today.")]
     got = {r["doc_id"]: math.log(r["toxic_score"] / (1 - r["toxic_score"])) for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
-    print("swap", got)
     assert max(got[k] for k in range(4)) - min(got[k] for k in range(4)) < 1 and got[9] > max(got[k] for k in range(4)) + 1
 
 
+def test_toxicity_sees_the_end_of_unspaced_texts(spark):
+    assert [w for w in toxicity.words(pa.array(["人人，坏蛋。好\u3000天！", "«bad»—good"]))[2] if w] == ["人人", "坏蛋", "好", "天", "bad", "good"]
+    model = toxicity.Model({"坏蛋了": 4.0}, -2.0)
+    rows = [(0, "人民今天回家" * 50), (1, "人民今天回家" * 50 + "坏蛋了"), (2, "x" * 5000 + "坏蛋了")]
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[0] < 0.5 < got[1] and got[2] > 0.5
+
+
 def test_toxicity_of_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(10, 40)] + [(12, 0, None), (None, 0, 1), (11, 0, 1), (11, 0, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)

@@ -28,8 +28,8 @@ from . import shared as S
 TRAIN_ROWS, VOCABULARY, LEAST_DOCS = 20_000, 2048, 8
 #: Weight of a toxic row, of squared weights, of squared score changes under swaps, and steps of the descent.
 TOXIC_ROW, RIDGE, SWAP, STEPS = 2.0, 1e-4, 1.0, 400
-#: Words whose features a Python worker keeps.
-MEMO_WORDS = 200_000
+#: Words whose features a Python worker keeps, and the characters of the longest such word.
+MEMO_WORDS, MEMO_CHARACTERS = 200_000, 100
 #: Fixed group names in four languages; those of one line are swapped for each other.
 GROUPS = [
     "women men girls boys woman man girl boy",
@@ -43,13 +43,14 @@ GROUPS = [
     "mujeres hombres niñas niños cristianos musulmanes judíos negros blancos inmigrantes extranjeros refugiados",
 ]
 NAMES = frozenset(w for line in GROUPS for w in line.split())
-#: ASCII characters that are no letters part words, as do the common space and punctuation characters beyond ASCII.
+#: ASCII characters that are no letters part words, as do characters beyond ASCII that are no letters, marks, numbers or joiners.
+_BEYOND = r"[^\x00-\x7F\p{L}\p{M}\p{N}\p{Cf}]"
 _APART = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """For every word its text and its place in the list of distinct lower-case words."""
-    lower = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    lower = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())), _BEYOND, " ")
     offsets = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + len(lower) + 1]
     data = lower.buffers()[2]
     if data is None or offsets[-1] == offsets[0]:
@@ -68,12 +69,12 @@ class Model:
     bias: float
 
 
-def features(word: str) -> set[str]:
+def features(word: str) -> Iterator[str]:
     """The word itself, and its three to five character stretches with marks for its edges; a group name has no stretches."""
-    marked = f"^{word[:100]}$"
-    if word in NAMES:
-        return {marked}
-    return {marked, *(marked[k : k + n] for n in (3, 4, 5) for k in range(len(marked) - n + 1))}
+    marked = f"^{word}$"
+    yield marked
+    if word not in NAMES:
+        yield from (marked[k : k + n] for n in (3, 4, 5) for k in range(len(marked) - n + 1))
 
 
 class Lookup:
@@ -84,9 +85,11 @@ class Lookup:
 
     def __call__(self, word: str) -> list[int]:
         if (got := self.memo.get(word)) is None:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            got = self.memo[word] = [k for f in features(word) if (k := self.place.get(f)) is not None]
+            got = list({k for f in features(word) if (k := self.place.get(f)) is not None})
+            if len(word) <= MEMO_CHARACTERS:
+                if len(self.memo) >= MEMO_WORDS:
+                    self.memo.clear()
+                self.memo[word] = got
         return got
 
 
@@ -121,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in S.blocks(batches, "text", 2 << 20):
             seen: dict[str, int] = {}
-            row, at = _pairs(block.column("text"), lambda w: [seen.setdefault(f, len(seen)) for f in features(w)])
+            row, at = _pairs(block.column("text"), lambda w: list({seen.setdefault(f, len(seen)) for f in features(w)}))
             toxic = block.column("toxic").to_numpy()
             n, bad = np.bincount(at, minlength=len(seen)), np.bincount(at, weights=toxic[row], minlength=len(seen))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(n.astype(np.int64)), pa.array(bad.astype(np.int64))], ["word", "n", "bad"])
