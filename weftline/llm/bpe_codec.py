@@ -99,8 +99,8 @@ class Codec:
         self.size = np.zeros(by_id[-1][1] + 1, np.int64)
         self.size[[r for _, r in by_id]] = [len(t) for t, _ in by_id]
         self.start = S.excl(self.size)
-        self.known: dict[str, bytes] = {}
-        self.encode = S.PieceEncoder(self.pieces, lead=True)
+        self.memo = S.Memo()
+        self.encode = S.PieceEncoder.of(self.pieces)
 
     def whole(self, keys: list[bytes]) -> list[int]:
         """First tier: the id of each key that is a token, -1 for others."""
@@ -133,16 +133,15 @@ class Codec:
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of strings that no pre-token crosses."""
-        if len(self.known) > S.MEMO_PIECES:
-            self.known.clear()
-        known, split = self.known, [self.pattern.findall(p) for p in pieces]
-        new = list({t for ts in split for t in ts if t not in known})
-        if new:
-            keys = [t.encode() for t in new]
-            for t, key, i in zip(new, keys, self.whole(keys), strict=True):
-                known[t] = S.pack([i]) if i >= 0 else S.pack(self.merge(key))
+        split = [self.pattern.findall(p) for p in pieces]
+        own = list({t for ts in split for t in ts})
+        known = dict(zip(own, self.memo.all(own, self.pretokens), strict=True))
         return [b"".join(map(known.__getitem__, ts)) for ts in split]
 
+    def pretokens(self, own: list[str]) -> list[bytes]:
+        keys = [t.encode() for t in own]
+        return [S.pack([i]) if i >= 0 else S.pack(self.merge(key)) for key, i in zip(keys, self.whole(keys), strict=True)]
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids one after another."""
         ids = ids.astype(np.int64)

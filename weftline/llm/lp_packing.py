@@ -8,7 +8,8 @@ histograms have no full columns and others lose by loose ones; the plan of fewes
 not depend on the number of pieces. Pieces then take the places of their length by rank.
 
 Defined results: a null text counts as empty (the end id alone); equal rows are packed each on its own; a document longer
-than a sequence is cut so that its first piece may be shorter; an empty table packs into no sequence.
+than a sequence is cut so that its first piece may be shorter; a very long text is cut like any other, with one block of its
+own in a worker; columns other than the id and the text are ignored, whatever their names; an empty table packs into no sequence.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,10 +157,10 @@ def places(plan: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document: piece, start, length and the checksum of their ids."""
+    """The pieces of every document: piece, start, length and the checksum of their ids, and row, by which pieces are spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = S.rank_encoder(path)
+        encode, made = S.rank_encoder(path), 1_000_003 * TaskContext.get().partitionId()
         for block in S.blocks(batches, "text"):
             ids, n = encode(block.column("text"))
             row, piece, start, length, crc = [], [], [], [], []
@@ -171,10 +173,12 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id
                 while a < total:
                     row.append(k), piece.append(p), start.append(a), length.append(b - a), crc.append(zlib.crc32(own[4 * a : 4 * b]))
                     a, b, p = b, b + capacity, p + 1
-            yield pa.RecordBatch.from_arrays([block.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["id", "piece", "start", "length", "ids_crc32"])
+            spread = pa.array(np.arange(made, made + len(row)))
+            made += len(row)
+            yield pa.RecordBatch.from_arrays([block.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), spread], ["id", "piece", "start", "length", "ids_crc32", "row"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +187,7 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_c
     made = S.cut(pieces(docs, path, end_id, capacity, id_col, text_col), "pieces")
     rows = made.count()
     salts = min(1024, max(16, rows // RANKED_ROWS))
-    salted = made.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = made.withColumn("salt", F.pmod(F.col("row"), F.lit(salts)).cast("int"))
     # at most capacity x salts rows come to the driver
     seen = salted.groupBy("length", "salt").count().collect()
     counts: dict[int, int] = defaultdict(int)
@@ -209,4 +213,4 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_c
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return pack(S.documents(spark, sf_dir), S.tokenizer_path("byte_bpe_50k.tiktoken"), end_id=2)
+    return pack(S.documents(spark, sf_dir), S.tokenizer_path("byte_bpe_50k.json"), end_id=2)

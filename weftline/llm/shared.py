@@ -15,11 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once; a longer text makes a block of its own.
-BLOCK_BYTES = 16 << 20
-#: Distinct pieces that a Python worker keeps encoded; beyond it the memo starts anew.
-MEMO_PIECES = 300_000
+BLOCK_BYTES = 6 << 20
+#: Bytes that a Python worker's encoded pieces may take, about; beyond it the memo starts anew. Longer pieces are not kept.
+MEMO_BYTES, MEMO_CHARACTERS = 96 << 20, 64
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -53,6 +54,22 @@ def cut(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of df that are not named, in any case, like one of names."""
+    own = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in own]
+
+
+def fields(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    """The schema of those columns of df, and of more (a DDL string) after them."""
+    return T.StructType([*(df.schema[c] for c in names), *T.StructType.fromDDL(more).fields])
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -62,8 +79,23 @@ def crc_of_id(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are used again by later stages, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about limit bytes of the column each, one row at least."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -72,6 +104,18 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)
+    release()
+
+
+def apart(taken: list[str], *names: str) -> list[str]:
+    """The names, each made longer until it is none of those taken (in any case): columns of an operator's own beside a caller's."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -92,29 +136,60 @@ def excl(counts: np.ndarray) -> np.ndarray:
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class Memo:
+    """Encoded pieces by their strings in two generations: when the newer is full the older goes, less what was met since."""
+
+    def __init__(self):
+        self.new, self.old, self.held = {}, {}, 0
+
+    def look(self, pieces: list[str]) -> list[bytes | None]:
+        out = list(map(self.new.get, pieces))
+        if self.old:
+            for k, v in enumerate(out):
+                if v is None and (v := self.old.get(pieces[k])) is not None:
+                    out[k] = v
+                    self.keep(pieces[k], v)
+        return out
+
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) <= MEMO_CHARACTERS:
+            if self.held > MEMO_BYTES // 2:
+                self.new, self.old, self.held = {}, self.new, 0
+            self.held += 220 + len(piece) + len(ids)  # with the room of a dictionary's entry
+            self.new[piece] = ids
+
+    def all(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of distinct pieces; those not kept are encoded together."""
+        out = self.look(pieces)
+        if missing := [k for k, v in enumerate(out) if v is None]:
+            new = [pieces[k] for k in missing]
+            for k, p, v in zip(missing, new, encode(new), strict=True):
+                out[k] = v
+                self.keep(p, v)
+        return out
+
+
+def joined(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed ids one after another, and the number of each."""
+    return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+
+
 class PieceEncoder:
     """Encodes whole texts by their distinct pieces.
 
-    encode takes distinct strings and returns their ids as little-endian unsigned 32-bit bytes. With lead, a piece is a
+    known takes distinct strings and returns their ids one after another with the number of each. With lead, a piece is a
     chunk together with the one space before it (byte-level pre-tokenizers); without, white space only separates pieces.
     Since no pre-token crosses a piece's edge, the ids of a text are those of its pieces one after another.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: bool, remember: bool = True):
-        self.encode, self.lead, self.remember, self.memo = encode, lead, remember, {}
+    def __init__(self, known: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], lead: bool):
+        self.known, self.lead = known, lead
 
-    def known(self, pieces: list[str]) -> list[bytes]:
-        if not self.remember:
-            return self.encode(pieces)
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        memo, get = self.memo, self.memo.get
-        out = list(map(get, pieces))
-        if missing := [k for k, v in enumerate(out) if v is None]:
-            new = [pieces[k] for k in missing]
-            for k, p, v in zip(missing, new, self.encode(new), strict=True):
-                out[k] = memo[p] = v
-        return out
+    @classmethod
+    def of(cls, encode: Callable[[list[str]], list[bytes]]) -> PieceEncoder:
+        """By a function that packs the ids of distinct strings with the space before them; what it gave is kept."""
+        memo = Memo()
+        return cls(lambda pieces: joined(memo.all(pieces, encode)), lead=True)
 
     def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Per text its number of pieces, for every piece the place of its string, and the strings."""
@@ -126,11 +201,14 @@ class PieceEncoder:
         counts = np.diff(offsets)
         if not self.lead:
             return counts, index, strings
-        starts = offsets[:-1] - offsets[0]
-        firsts = {}
-        first = np.fromiter((firsts.setdefault(strings[k], len(firsts)) for k in index[starts]), np.int64, len(starts))
-        index[starts] = len(strings) + first
-        return counts, index, [" " + s for s in strings] + list(firsts)
+        # only a text's first piece has no space before it: even places are strings with one, odd ones without
+        index *= 2
+        index[offsets[:-1] - offsets[0]] += 1
+        used = np.zeros(2 * len(strings), bool)
+        used[index] = True
+        places = np.flatnonzero(used)
+        index = (np.cumsum(used) - 1)[index]
+        return counts, index, [strings[k >> 1] if k & 1 else " " + strings[k >> 1] for k in places.tolist()]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the number of ids of each. Nulls count as empty."""
@@ -154,9 +232,7 @@ class PieceEncoder:
         return ragged(ids, excl(n)[back], n[back]), n[back]
 
     def _gather(self, counts: np.ndarray, index: np.ndarray, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        coded = self.known(strings)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), "<u4")
+        flat, sizes = self.known(strings)
         each = sizes[index]
         ends = np.concatenate([[0], np.cumsum(each)])
         edge = np.concatenate([[0], np.cumsum(counts)])
@@ -175,86 +251,102 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def read_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes and ids of a byte-level vocabulary in the tokenizers library's file format, and its special tokens' ids."""
+    import json
+
+    with open(path, encoding="utf-8") as src:
+        made = json.load(src)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    special = {x["content"]: x["id"] for x in made["added_tokens"]}
+    return {bytes(map(byte_of.__getitem__, token)): k for token, k in made["model"]["vocab"].items() if token not in special}, special
+
+
 @lru_cache(maxsize=2)
 def rank_encoder(path: str) -> PieceEncoder:
-    """Byte-level BPE of a rank file by the tiktoken library."""
+    """Byte-level BPE by the tiktoken library: of a rank file without special tokens, of a vocabulary (.json) with its own.
+
+    In both kinds of file a token's id is its rank among the merges.
+    """
     import public_tokenizers
     import tiktoken
 
-    own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
-    return PieceEncoder(lambda pieces: [pack(own.encode_ordinary(p)) for p in pieces], lead=True)
+    ranks, special = read_vocabulary(path) if path.endswith(".json") else (read_ranks(path), {})
+    own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    if not special:
+        return PieceEncoder.of(lambda pieces: [pack(own.encode_ordinary(p)) for p in pieces])
+    marks = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+
+    def one(piece: str) -> bytes:
+        parts = marks.split(piece) if "<|" in piece or marks.search(piece) else [piece]
+        return pack([i for part in parts for i in ([special[part]] if part in special else own.encode_ordinary(part))])
+
+    return PieceEncoder.of(lambda pieces: list(map(one, pieces)))
 
 
 class WordEncoder:
     """A word-end vocabulary by the tokenizers library, on the words inside of pieces.
 
-    A piece that ends in closing punctuation is a word and that punctuation, since no pre-token holds both. Words that are
-    all letters are one pre-token each; many are encoded as one text and told apart by their word ends.
+    A piece that ends in punctuation is a word and that punctuation, since no pre-token holds both. A word of ASCII letters
+    is a pre-token as it is, so the library's model alone encodes it; others go through its normalizer and pre-tokenizer.
     """
 
-    CLOSING, TOGETHER, WORDS = ",.;:!?", 1000, 700_000
+    CLOSING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     #: Last characters that are a letter or number before and after normalization.
     CLOSED = "[A-Za-z0-9ßà-öø-ÿ]$"
 
     def __init__(self, path: str):
         self.own = _library(path)
-        vocabulary = self.own.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        if len(self.memo) > self.WORDS:
-            self.memo.clear()
+        special = [re.escape(x.content) for x in self.own.get_added_tokens_decoder().values()]
+        self.special = f"(?i){'|'.join(special)}" if special else "$^"
+        self.memo = Memo()
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = pa.array(pieces, pa.string())
         bare = pc.utf8_rtrim(raw, self.CLOSING)
-        word = pc.if_else(pc.match_substring_regex(bare, self.CLOSED), bare, raw)
-        tails = np.flatnonzero(pc.not_equal(pc.binary_length(word), pc.binary_length(raw)).to_numpy(zero_copy_only=False))
-        lengths = pc.utf8_length(word).to_numpy()[tails]
-        coded = pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word).dictionary_encode()
-        words, after = coded.dictionary.to_pylist(), [pieces[k][n:] for k, n in zip(tails.tolist(), lengths.tolist(), strict=True)]
-        memo = self.memo
-        new = [w for w in dict.fromkeys([*words, *set(after)]) if w not in memo]
-        plain = [w for w in new if w.isalpha()]
-        for k in range(0, len(plain), self.TOGETHER):
-            self._together(plain[k : k + self.TOGETHER])
-        self._apart([w for w in new if w not in memo])
-        known = [memo[w] for w in words]
-        out = [known[k] for k in coded.indices.to_pylist()]
-        for k, tail in zip(tails.tolist(), after, strict=True):
-            out[k] += memo[tail]
+        # special tokens are told from their other spellings before a word is made lower case
+        special = pc.match_substring_regex(raw, self.special)
+        word = pc.if_else(pc.and_(pc.match_substring_regex(bare, self.CLOSED), pc.invert(special)), bare, raw)
+        coded = pc.if_else(pc.and_(pc.string_is_ascii(word), pc.invert(special)), pc.ascii_lower(word), word).dictionary_encode()
+        words, tails = coded.dictionary.to_pylist(), {"": 0}
+        cut = np.flatnonzero(pc.not_equal(pc.binary_length(word), pc.binary_length(raw)).to_numpy(zero_copy_only=False))
+        units = np.full((len(pieces), 2), len(words), np.int64)  # a word, and the punctuation after it
+        units[:, 0] = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = pc.utf8_length(word).to_numpy()[cut]
+        units[cut, 1] += np.fromiter((tails.setdefault(pieces[k][n:], len(tails)) for k, n in zip(cut.tolist(), lengths.tolist(), strict=True)), np.int64, len(cut))
+        flat, sizes = joined(self.memo.all(words, self.encode) + self.encode(list(tails)))
+        each = sizes[units]
+        return ragged(flat, excl(sizes)[units.ravel()], each.ravel()), each.sum(1)
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        tokenize = self.own.model.tokenize
+        out = [pack([t.id for t in tokenize(w)]) if w.isalpha() and w.isascii() and w.islower() else None for w in words]
+        rest = [k for k, v in enumerate(out) if v is None]
+        for k, e in zip(rest, self.own.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = pack(e.ids)
         return out
 
-    def _together(self, words: list[str]) -> None:
-        ids = np.array(self.own.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(words):  # else one of them is more than a pre-token once normalized
-            data, a = ids.tobytes(), 0
-            for w, b in zip(words, cuts.tolist(), strict=True):
-                self.memo[w] = data[4 * a : 4 * b]
-                a = b
-
-    def _apart(self, words: list[str]) -> None:
-        for w, e in zip(words, self.own.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.memo[w] = pack(e.ids)
-
 
 def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True  # their strings in a text are ordinary text
-    return own
+    return Tokenizer.from_file(path)
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a vocabulary in the tokenizers library's file format."""
+    return max(_library(path).get_vocab().values()) + 1
 
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str, lead: bool) -> PieceEncoder:
     """The tokenizers library on distinct pieces, with a leading space (byte-level) or on words (with word ends)."""
     if not lead:
-        return PieceEncoder(WordEncoder(path), lead=False, remember=False)
+        return PieceEncoder(WordEncoder(path), lead=False)
     own = _library(path)
-    return PieceEncoder(lambda pieces: [pack(e.ids) for e in own.encode_batch_fast(pieces, add_special_tokens=False)], lead=True)
+    return PieceEncoder.of(lambda pieces: [pack(e.ids) for e in own.encode_batch_fast(pieces, add_special_tokens=False)])
 
 
 def tokenizer_path(name: str) -> str:
