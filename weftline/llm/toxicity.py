@@ -1,13 +1,16 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
-A logistic model over the distinct words of a text and the three to five letter stretches inside them. In every labelled sentence that names a group, the group's name is
-swapped for each of the others, and the squared change of the score is part of the loss; so neutral mentions of a group
-move no text towards either label. Group names have no stretches, else these could carry what the loss takes from the
-names themselves: a swap changes the score by the names' two weights and by nothing else. The vocabulary is the words that tell the labels apart best, with all group names.
+A logistic model over the distinct words of a text and the three to five letter stretches inside them. Every sentence of
+the labelled sample that names a group is written anew with each other name of the group's line in its place; the squared
+difference of the two sentences' scores, over all features in which they differ, is part of the loss. So neutral mentions
+of a group move no text towards either label. Group names have no stretches, else these could carry a bias into other
+words. The vocabulary is the words that tell the labels apart best, with all group names.
 
 Defined results: an empty or null text has the score of a text without known words; null labels are not learned; a
-document with several labels counts as toxic if one of them says so; without labelled rows every score is 0.5 less a
-hair and nothing is predicted toxic; repeated rows each give a row.
+document with several labels counts as toxic if one of them says so; rows of equal id and text are learned once; without
+labelled rows every score is 0.5 less a hair and nothing is predicted toxic; repeated rows each give a row; a very long
+text is scored whole, in a block of its own; other columns pass through `score` with carry, whatever their names, but for
+one named like its own result, which is replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from . import shared as S
 
 #: Labelled rows to learn from, at most about; features of the vocabulary; least number of sample documents with a feature.
 TRAIN_ROWS, VOCABULARY, LEAST_DOCS = 20_000, 2048, 8
-#: Weight of a toxic row, of squared weights, of squared score changes under swaps, and steps of the descent.
-TOXIC_ROW, RIDGE, SWAP, STEPS = 2.0, 1e-4, 1.0, 400
+#: Weight of a toxic row, of squared weights, of squared score changes under swaps, steps of the descent, and rows that are made floats at once.
+TOXIC_ROW, RIDGE, SWAP, STEPS, ROWS = 2.0, 1e-4, 10.0, 400, 1024
 #: Words whose features a Python worker keeps, and the characters of the longest such word.
 MEMO_WORDS, MEMO_CHARACTERS = 200_000, 100
 #: Fixed group names in four languages; those of one line are swapped for each other.
@@ -43,6 +46,8 @@ GROUPS = [
     "mujeres hombres niñas niños cristianos musulmanes judíos negros blancos inmigrantes extranjeros refugiados",
 ]
 NAMES = frozenset(w for line in GROUPS for w in line.split())
+LINE = {name: [w for line in GROUPS if name in line.split() for w in line.split() if w != name] for name in NAMES}
+_NAMED, _ENDS, _WORD = re.compile("|".join(map(re.escape, sorted(NAMES))), re.I), re.compile(r"[.!?\n]+"), re.compile(r"[^\W\d_]+")
 #: ASCII characters that are no letters part words, as do characters beyond ASCII that are no letters, marks, numbers or joiners.
 _BEYOND = r"[^\x00-\x7F\p{L}\p{M}\p{N}\p{Cf}]"
 _APART = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
@@ -107,19 +112,30 @@ def _pairs(texts: pa.Array, lookup) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text and toxic of labelled documents outside the held-out fold: about rows at most, by a hash of the id."""
+    """text and toxic of labelled documents outside the held-out fold, each id and text once: about rows at most, by hashes of ids and then of texts."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(S.crc_of_id(), F.lit(5)) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    within = lambda *key: lambda n: F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(1 << 30)) < int(rows / n * (1 << 30))
     n = own.count()
     if n > rows:
-        own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+        own = own.where(within("doc_id")(n))
     # ids and labels of about `rows` rows at most are broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(own), "doc_id")
+    met = S.cut(found.repartition(16, "doc_id", "text").dropDuplicates(["doc_id", "text"]).select("text", F.col("toxic").cast("int").alias("toxic")), "toxic")
+    n = met.count()  # ids may have had many texts
+    return met if n <= 2 * rows else met.where(within("text")(n))
+
+
+def swaps(text: str) -> Iterator[tuple[list[str], list[str]]]:
+    """The words of each sentence that names a group, and those of the sentence with another name in its place."""
+    for sentence in _ENDS.split(text.lower()):
+        own = _WORD.findall(sentence)
+        for name in NAMES.intersection(own):
+            for other in LINE[name]:
+                yield own, [other if w == name else w for w in own]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    spark = docs.sparkSession
-    sample = S.cut(labelled(docs, labels, rows).where(F.col("text").isNotNull()).repartition(16), "toxic")
-    names = sorted(NAMES)
+    sample = labelled(docs, labels, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in S.blocks(batches, "text", 2 << 20):
@@ -136,51 +152,65 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     seen = sample.mapInArrow(count, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(f"n >= {LEAST_DOCS}")
     telling = F.abs(F.col("bad") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
     best = [r.word for r in seen.orderBy(telling.desc(), "word").limit(VOCABULARY).select("word").collect()]
-    marked = lambda w: f"^{w}$"
-    vocabulary = sorted({*best, *map(marked, names)})
+    vocabulary = sorted({*best, *(f"^{w}$" for w in NAMES)})
     place = {w: k for k, w in enumerate(vocabulary)}
-    ends = re.compile(r"[.!?\n]+")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = re.compile("|".join(map(re.escape, names)))
+        """Rows of the sample by their features; and, with toxic -n, features that n swaps have taken away (below 0) and brought."""
+        lookup = Lookup(place)
         for block in S.blocks(batches, "text", 4 << 20):
-            row, at = _pairs(block.column("text"), Lookup(place))
+            row, at = _pairs(block.column("text"), lookup)
             edges = np.searchsorted(row, np.arange(block.num_rows + 1))
-            named: list[list[int]] = []
+            changed: dict[tuple[int, ...], int] = {}
             for text in block.column("text").to_pylist():
-                low = (text or "").lower()
-                sentences = ends.split(low) if group.search(low) else []
-                named.append([place[marked(w)] for s in sentences for w in set(re.findall(r"[^\W\d_]+", s)) if w in NAMES])
-            yield pa.RecordBatch.from_arrays([block.column("toxic"), pa.array([at[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.list_(pa.int32())), pa.array(named, pa.list_(pa.int32()))], ["toxic", "at", "named"])
-
-    # at most about `rows` rows of vocabulary places, as flat arrays
-    got = sample.mapInArrow(placed, "toxic int, at array<int>, named array<int>").toArrow().combine_chunks()
-    y = got["toxic"].to_numpy().astype(np.float64)
-    of = pc.list_value_length(got["at"]).to_numpy()
-    x = np.zeros((len(y), len(vocabulary)), np.float32)
-    x[np.repeat(np.arange(len(y)), of), pc.list_flatten(got["at"]).to_numpy()] = 1
-    swapped = np.bincount(pc.list_flatten(got["named"]).to_numpy(), minlength=len(vocabulary)).astype(np.float64)
+                for own, other in swaps(text) if _NAMED.search(text) else ():
+                    before, after = ({k for w in words for k in lookup(w)} for words in (own, other))
+                    key = (*sorted(~k for k in before - after), *sorted(after - before))
+                    changed[key] = changed.get(key, 0) + 1
+            lists = [at[a:b] for a, b in zip(edges, edges[1:], strict=False)] + list(changed)
+            toxic = block.column("toxic").to_pylist() + [-n for n in changed.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "at"])
+
+    # at most about twice `rows` rows of vocabulary places, and the kinds of swaps, as flat arrays
+    got = sample.mapInArrow(placed, "toxic int, at array<int>").toArrow().combine_chunks()
+    y, of, flat = got["toxic"].to_numpy(), pc.list_value_length(got["at"]).to_numpy(), pc.list_flatten(got["at"]).to_numpy()
     del got
-    lines = [np.array([place[marked(w)] for w in line.split()]) for line in GROUPS]
-    w, b = fit(x, y, swapped / len(y), lines)
+    row = np.repeat(np.arange(len(y)), of)
+    own = y >= 0
+    x = np.zeros((int(own.sum()), len(vocabulary)), np.uint8)
+    mine = own[row]
+    x[(np.cumsum(own) - 1)[row[mine]], flat[mine]] = 1
+    kinds = ((np.cumsum(~own) - 1)[row[~mine]], flat[~mine], -y[~own] / max(1, len(x)))
+    w, b = fit(x, y[own].astype(np.float64), kinds)
+    S.release()
     return Model(dict(zip(vocabulary, w.tolist(), strict=True)), b)
 
 
-def fit(x: np.ndarray, y: np.ndarray, named: np.ndarray, lines: list[np.ndarray], swap: float = SWAP) -> tuple[np.ndarray, float]:
-    """Weights and bias: mean log loss, ridge, and for every named group the mean squared score change under its swaps."""
+def fit(x: np.ndarray, y: np.ndarray, kinds: tuple[np.ndarray, np.ndarray, np.ndarray], swap: float = SWAP) -> tuple[np.ndarray, float]:
+    """Weights and bias by the mean log loss, the ridge, and the squared score changes under swaps.
+
+    kinds gives every kind of swap by entries (its number, the feature that came, or ~ of the one that went) and its share.
+    """
     d = x.shape[1]
-    row = np.where(y > 0.5, TOXIC_ROW, 1.0)
-    row /= row.sum()
+    share = np.where(y > 0.5, TOXIC_ROW, 1.0)
+    share /= share.sum()
+    of, at, often = kinds
+    sign, at = np.where(at < 0, -1.0, 1.0), np.where(at < 0, ~at, at).astype(np.int64)
     w, b = np.zeros(d), float(np.log(y.mean() / (1 - y.mean())))
     vw, vb, g2, gb2 = np.zeros(d), 0.0, np.zeros(d), 0.0
+    part = np.empty((ROWS, d), np.float32)
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -30, 30)))
-        pull = (p - y) * row
-        gw, gb = x.T @ pull.astype(np.float32) + 2 * RIDGE * w, float(pull.sum())
-        for line in lines:
-            own = w[line]
-            change = own[:, None] - own[None]  # score change when the second takes the first's place
-            gw[line] += 2 * swap * ((named[line][:, None] + named[line][None]) * change / len(line)).sum(1)
+        gw, gb, now = 2 * RIDGE * w, 0.0, w.astype(np.float32)
+        for a in range(0, len(x), ROWS):  # floats of a few rows at a time
+            own = part[: min(ROWS, len(x) - a)]
+            np.copyto(own, x[a : a + ROWS])
+            p = 1 / (1 + np.exp(-np.clip(own @ now + b, -30, 30)))
+            pull = (p - y[a : a + ROWS]) * share[a : a + ROWS]
+            gw += own.T @ pull.astype(np.float32)
+            gb += float(pull.sum())
+        if len(often):
+            change = np.bincount(of, weights=sign * w[at], minlength=len(often))
+            gw += 2 * swap * np.bincount(at, weights=sign * (often * change)[of], minlength=d)
         vw, vb = 0.9 * vw + 0.1 * gw, 0.9 * vb + 0.1 * gb
         g2, gb2 = 0.99 * g2 + 0.01 * gw**2, 0.99 * gb2 + 0.01 * gb**2
         rate = 0.1 * (1 - step / (STEPS + 1))
@@ -192,20 +222,19 @@ def fit(x: np.ndarray, y: np.ndarray, named: np.ndarray, lines: list[np.ndarray]
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """toxic_score of every text: with the id, or with carry beside all columns of docs."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "toxic_score"] if carry else [id_col]
+    kept = S.others(docs, "toxic_score") if carry else [id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         lookup = Lookup({w: k for k, w in enumerate(model.weights)})
         weights = np.fromiter(model.weights.values(), np.float64, len(model.weights))
-        for block in S.blocks(batches, "__text", 4 << 20):
-            row, at = _pairs(block.column("__text"), lookup)
+        for block in S.blocks(batches, "text", 4 << 20):
+            row, at = _pairs(block.column("text"), lookup)
             z = model.bias + np.bincount(row, weights=weights[at] if len(at) else None, minlength=block.num_rows)
             yield pa.RecordBatch.from_arrays([*(block.column(k) for k in range(len(kept))), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*kept, "toxic_score"])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    own = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
-    return own.mapInArrow(run, ", ".join([*fields, "toxic_score double"]))
+    own = docs.select(*(S.quoted(c).alias(f"kept_{k}") for k, c in enumerate(kept)), S.quoted(text_col).alias("text"))
+    return own.mapInArrow(run, S.fields(docs, kept, "toxic_score double"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
