@@ -1,21 +1,27 @@
 """N-gram Jaccard join of texts as a blocked sparse matrix product.
 
 Rows of the incidence matrix are the distinct shingle sets of the texts (exact copies are one row), columns are hashed
-shingles. Two sets of similarity t share a column among the first n - ceil(t n) + 1 of each in any common order, so only
-those columns are multiplied; the order takes columns that a sample shows to be frequent last. Columns are dealt to
-blocks by hash. A block sorts its entries by column, parts each column's rows where sizes alone rule a link out, and
-passes on the rows that meet. Overlaps are then counted over whole sets, in two rounds: first every row of a column
-against one of its rows (a star, linear in the column), and then only rows that the stars have not brought together, less
-those pairs whose parity sketches already differ in more places than the sizes allow. The sketch bound is exact: each
-shingle in just one of two sets flips one bit, so differing bits never exceed the sets' difference.
-
-What is lost nowhere: a link between different sets is either counted in one of the first rounds or in the last, or its
-ends are already in one component. Nothing is capped; a column's rows are held in one task, 20 bytes each at first, and
-with their sketches if they are not all in one component.
+shingles. As in any sparse product, its pattern comes before its numbers.
+
+Pattern: two sets of similarity t share a column among the first n - ceil(t n) + 1 of each in any common order, so only
+those columns count; the order takes columns that a sample shows to be frequent last. Columns are dealt to blocks by
+hash. A block sorts its entries by column, parts each column's rows where sizes alone rule a link out, and passes on the
+rows that meet. Not all of a column's pairs enter the pattern: first every row with one of its rows (a star, linear in
+the column), and then only rows that the stars have not brought together. Large columns are dealt to tasks in tiles of
+TILE rows by TILE. Pairs whose parity sketches already differ in more places than the sizes allow are left out; that
+bound is exact: each shingle in just one of two sets flips one bit, so differing bits never exceed the sets' difference.
+
+Numbers: for the pairs of the pattern, whole rows are multiplied column block by column block. Overlap counts accumulate
+over the blocks, and after each block the pairs go whose count, with all that is left of the smaller remainder, stays
+below the bound that the sizes demand. What is left at the end are links with their exact overlaps.
+
+What is lost nowhere: a link between different sets is either counted in one of the rounds, or its ends are already in
+one component. Nothing is capped; a column's rows are held in one task, 20 bytes each, and with their sketches by tiles.
 
 Defined results: a text of fewer words than a shingle is one shingle of its whole sequence; a null or empty text, or one
-of white space, has no shingle, links to nothing and is its own component; repeated rows link like other copies; columns
-other than the id and the text are ignored, whatever their names. Shingles count as equal if 64-bit hashes are.
+of white space, has no shingle, links to nothing and is its own component; repeated rows link like other copies; a very
+long text is one row like any other; columns other than the id and the text are ignored, whatever their names; an empty
+table gives an empty result. Shingles count as equal if 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -37,6 +43,10 @@ WIDTH, PERCENT = 5, 80
 SAMPLE_ONE_IN, SAMPLE_ROWS, FREQUENT, SHIPPED = 4, 2_000_000, 3, 1_000_000
 #: Entries of a block, about.
 BLOCK_ENTRIES = 1_000_000
+#: Column blocks of the product, by the highest bits of a column; rows of a tile of a large column's rows.
+COLUMN_BLOCKS, TILE = 8, 256
+#: Entries that a task multiplies at once, about.
+PRODUCT_ENTRIES = 2_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -110,6 +120,11 @@ def linked(both: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
+def least_overlap(a, b, percent: int = PERCENT):
+    """The smallest overlap that links sets of a and b members."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -278,20 +293,52 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int, once: bool) -> DataF
     return made if once else made.dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs whose overlap, counted over whole sets, makes a link."""
+_EDGES = (np.arange(1, COLUMN_BLOCKS, dtype=np.uint64) << np.uint64(64 - (COLUMN_BLOCKS - 1).bit_length()))
+
+
+def block_product(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Overlap counts of one row with others, by column blocks; -1 where a bound has ended the count before its link."""
+    cut = lambda x: np.concatenate([[0], np.searchsorted(x, _EDGES), [len(x)]])
+    mine, theirs = cut(one), np.stack([cut(x) for x in others])
+    sizes = theirs[:, -1]
+    need, count, live = least_overlap(len(one), sizes, percent), np.zeros(len(others), np.int64), np.arange(len(others))
+    for k in range(COLUMN_BLOCKS):
+        own = one[mine[k] : mine[k + 1]]
+        part = [others[j][theirs[j, k] : theirs[j, k + 1]] for j in live.tolist()]
+        n = theirs[live, k + 1] - theirs[live, k]
+        if len(own) and n.any():
+            flat = np.concatenate(part)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            count[live] += np.bincount(np.repeat(np.arange(len(live)), n)[hit], minlength=len(live))
+        may = count[live] + np.minimum(len(one) - mine[k + 1], sizes[live] - theirs[live, k + 1]) >= need[live]
+        count[live[~may]] = -1
+        live = live[may]
+        if not len(live):
+            break
+    return count
+
+
+def product(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs a, b of the pattern, with their overlap counts. Rows of one a meet in runs, which are multiplied together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")  # two ascending runs
-                good.append(linked(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    x, y = sets.select(F.col("node").alias("b"), F.col("members").alias("y")), sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            x, y = batch.column("x"), batch.column("y")
+            entries = pc.binary_length(y).to_numpy().astype(np.int64) // 8
+            runs = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
+            got = np.full(len(a), -1, np.int64)
+            for first, end in zip(runs.tolist(), runs[1:].tolist(), strict=False):
+                one = np.frombuffer(x[first].as_buffer(), np.uint64)
+                part = np.cumsum(entries[first:end]) // PRODUCT_ENTRIES
+                edges = [first, *(first + 1 + np.flatnonzero(np.diff(part))).tolist(), end]
+                for i, j in zip(edges, edges[1:], strict=False):
+                    got[i:j] = block_product(one, [np.frombuffer(y[k].as_buffer(), np.uint64) for k in range(i, j)], percent)
+            links = np.flatnonzero(got >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links]), pa.array(got[links])], ["a", "b", "overlap"])
+
+    x, y = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, overlap long")
 
 
 def forest(node: np.ndarray, group: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -324,11 +371,15 @@ def every(node: np.ndarray, group: np.ndarray, n: np.ndarray, own: np.ndarray, p
 
 
 def apart(lists: DataFrame, group: DataFrame, marks: DataFrame, percent: int, choose=every) -> DataFrame:
-    """Of each list's rows in different groups, the pairs that choose takes. The first row of a list has been compared."""
+    """Of each list's rows in different groups, the pairs that choose takes, tile by tile. The first row of a list has been compared."""
     rows = members(lists, 3).join(group, "node", "left").select("list", "node", F.coalesce("group", "node").alias("group"))
     rows = S.cut(rows, "members")
-    open_lists = rows.groupBy("list").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("list")
-    held = rows.join(open_lists, "list").join(marks.select("node", "n", "sketch"), "node").select("list", "node", "group", "n", "sketch")
+    tiles = F.ceil(F.count(F.lit(1)) / TILE).cast("int")
+    open_lists = rows.groupBy("list").agg(F.min("group").alias("g"), F.max("group").alias("h"), tiles.alias("tiles")).where("g <> h").select("list", "tiles")
+    held = rows.join(open_lists, "list").join(marks.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # a row meets each tile of its list once: in the tile of both numbers
+    spread = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = spread.select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "group", "n", "sketch")
 
     def compare(table: list[tuple]) -> Iterator[tuple[int, int]]:
         width = min(len(x[3]) for x in table) // 8
@@ -338,13 +389,13 @@ def apart(lists: DataFrame, group: DataFrame, marks: DataFrame, percent: int, ch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table, out = None, [], set()
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(5)]
-            for name, *row in zip(*cols, strict=True):
+            cols = [batch.column(k).to_pylist() for k in range(7)]
+            for *name, node, group, n, mark in zip(*cols, strict=True):
                 if name != now:
                     if len(table) > 1:
                         out.update(compare(table))
                     now, table = name, []
-                table.append(tuple(row))
+                table.append((node, group, n, mark))
             if len(out) > 100_000:
                 yield pairs_batch(out)
                 out = set()
@@ -352,7 +403,7 @@ def apart(lists: DataFrame, group: DataFrame, marks: DataFrame, percent: int, ch
             out.update(compare(table))
         yield pairs_batch(out)
 
-    return held.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long").distinct()
+    return spread.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
 def pairs_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -387,7 +438,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     pairs = S.cut(sketched(stars(lists, percent), marks, percent), "pairs")
     held = ends(pairs)
     sets = S.cut(sets_of(own, nodes.join(held, "node"), width, once), "sets")
-    first = S.cut(verified(pairs, sets, percent), "links")
+    first = S.cut(product(pairs, sets, percent), "links")
     near = first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("group"))
     up = near.select(F.col("node").alias("group"), F.col("group").alias("top"))
     near = S.cut(near.join(up, "group", "left").select("node", F.coalesce("top", "group").alias("group")), "near")
@@ -396,8 +447,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         wanted = S.cut(ends(pairs).join(held, "node", "left_anti"), "ends")
         sets = sets.unionByName(S.cut(sets_of(own, nodes.join(wanted, "node"), width, once), "sets"))
         held = held.unionByName(wanted)
-        more = S.cut(verified(pairs, sets, percent), "links")
-        near = components(first.unionByName(more))
+        more = S.cut(product(pairs, sets, percent), "links")
+        near = components(first.select("a", "b").unionByName(more.select("a", "b")))
         first = near.select(F.col("node").alias("a"), F.col("group").alias("b")).where("a <> b")
     group = near
     # the least id of every component, over all copies of its sets
