@@ -6,7 +6,9 @@ ranges over those archives; a range's task reads the archive's directory, takes
 streams them as Arrow batches, and fetches each of them again by its own offset if it can't be read or its checksum fails.
 
 Defined results: a null text is an empty payload, padded like any other; equal texts give equal bytes and features;
-repeated rows are members of their own; a null id stays null; an empty table gives no archive and an empty result.
+repeated rows are members of their own; a null id stays null; a very long text is one member, held whole by the task that
+writes or reads it; columns other than the id and the text are ignored, whatever their names; an empty table gives no
+archive and an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from . import shared as S
 ROW, PAD = 576, b"\xff"
 #: Members and bytes after which an archive is closed; bytes of a planned range; bytes of a batch; tries of a member.
 ARCHIVE_MEMBERS, ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 60_000, 64 << 20, 16 << 20, 8 << 20, 4
+#: Partitions that the ranges are dealt to, at most.
+PARTITIONS = 50_000
 
 _LOCAL, _CENTRAL, _END = "<4s5H3I2H", "<4s6H3I5H2I", "<4s4H2IH"
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -119,57 +123,75 @@ def directory(src, size: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def member(system, path: str, name: str, crc: int, size: int, offset: int, tries: int = TRIES) -> bytes:
-    """A member's bytes from its own offset, tried anew on its own."""
-    for left in reversed(range(tries)):
-        try:
-            with system.open_input_file(path) as src:
-                src.seek(offset)
-                head = struct.unpack(_LOCAL, src.read(struct.calcsize(_LOCAL)))
-                src.seek(offset + struct.calcsize(_LOCAL) + head[9] + head[10])
-                data = src.read(size)
-            if head[0] != b"PK\x03\x04" or zlib.crc32(data) != crc:
-                raise OSError(f"{path}: {name} at {offset} is damaged")
-            return data
-        except OSError:
-            if not left:
-                raise
-            time.sleep(0.05 * 2 ** (tries - left))
-    raise AssertionError
+class Members:
+    """Reads members of one archive by their offsets through one open file, which is opened anew only after a failure."""
+
+    def __init__(self, system, path: str):
+        self.system, self.path, self.src = system, path, None
+
+    def read(self, name: str, crc: int, size: int, offset: int, tries: int = TRIES) -> bytes:
+        """A member's bytes from its own offset, tried anew on its own."""
+        for left in reversed(range(tries)):
+            try:
+                self.src = self.src or self.system.open_input_file(self.path)
+                self.src.seek(offset)
+                head = struct.unpack(_LOCAL, self.src.read(struct.calcsize(_LOCAL)))
+                self.src.seek(offset + struct.calcsize(_LOCAL) + head[9] + head[10])
+                data = self.src.read(size)
+                if head[0] != b"PK\x03\x04" or zlib.crc32(data) != crc:
+                    raise OSError(f"{self.path}: {name} at {offset} is damaged")
+                return data
+            except (OSError, struct.error) as error:
+                self.close()
+                if not left:
+                    raise OSError(f"{self.path}: {name} at {offset} can't be read") from error
+                time.sleep(0.05 * 2 ** (tries - left))
+        raise AssertionError
+
+    def close(self) -> None:
+        src, self.src = self.src, None
+        if src is not None:
+            src.close()
 
 
-class ByteRange(InputPartition):
-    def __init__(self, path: str, size: int, start: int, end: int):
-        self.path, self.size, self.start, self.end = path, size, start, end
+class ByteRanges(InputPartition):
+    """Ranges of archives, each its archive, the archive's size, and the first byte and the one after the last."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, int]]):
+        self.ranges = ranges
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.manifest, self.step = options["manifest"], int(options.get("rangeBytes", RANGE_BYTES))
+        self.manifest, self.step = options["manifest"], int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
+        """Ranges of step bytes; of many, neighbours share a partition. The manifest's two columns, a row an archive, are read."""
         import pyarrow.dataset as ds
 
         system, path = fs.FileSystem.from_uri(self.manifest)
         found = [x.path for x in system.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")]
         rows = ds.dataset(found, filesystem=system).to_table(["archive", "bytes"]).to_pylist() if found else []
-        return [ByteRange(r["archive"], r["bytes"], a, a + self.step) for r in rows for a in range(0, r["bytes"], self.step)] or [ByteRange("", 0, 0, 0)]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        system, path = fs.FileSystem.from_uri(partition.path)
-        with system.open_input_file(path) as src:
-            own = [x for x in directory(src, partition.size) if partition.start <= x[3] < partition.end]
-        names, offsets, media, held = [], [], [], 0
-        for name, crc, size, offset in own:
-            names.append(name), offsets.append(offset), media.append(member(system, path, name, crc, size, offset))
-            held += size
-            if held >= BATCH_BYTES:
+        ranges = [(r["archive"], r["bytes"], a, a + self.step) for r in rows for a in range(0, r["bytes"], self.step)]
+        each = -(-len(ranges) // PARTITIONS) or 1
+        return [ByteRanges(ranges[k : k + each]) for k in range(0, len(ranges), each)] or [ByteRanges([])]
+
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        for archive, length, start, end in partition.ranges:
+            system, path = fs.FileSystem.from_uri(archive)
+            with system.open_input_file(path) as src:
+                own = [x for x in directory(src, length) if start <= x[3] < end]
+            reader = Members(system, path)
+            names, offsets, media, held = [], [], [], 0
+            for name, crc, size, offset in own:
+                names.append(name), offsets.append(offset), media.append(reader.read(name, crc, size, offset))
+                held += size
+                if held >= BATCH_BYTES:
+                    yield self._batch(names, offsets, media)
+                    names, offsets, media, held = [], [], [], 0
+            reader.close()
+            if names:
                 yield self._batch(names, offsets, media)
-                names, offsets, media, held = [], [], [], 0
-        if names:
-            yield self._batch(names, offsets, media)
 
     @staticmethod
     def _batch(names, offsets, media) -> pa.RecordBatch:
