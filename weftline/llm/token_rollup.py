@@ -2,20 +2,26 @@
 
 Every change to a document is a signed row: an insert adds its count, a delete takes it away, a revised count takes the
 old one away and adds the new one. A batch of changes becomes a small table of additive totals by source, language and
-tokenizer version in a folder named after the batch. A folder counts only once Spark has finished it, a finished batch is
-never written again, and totals are the sum of all finished batches; so a batch that is sent twice, or whose executors or
-driver were lost midway, counts once.
-
-Defined results: null source or language is a group of its own; a null text has no tokens; repeated rows count each;
-groups whose documents and tokens have both come to zero are left out; no change at all gives an empty rollup.
+tokenizer version. It is written to a folder of its own first; what commits it is one small file, named after the batch,
+that is moved into place only if no such file is there, and that names the folder and a digest of its rows. So of two
+writers of a batch one wins whole, a batch that is sent again counts once, one that is sent again with other rows is
+refused, and what a lost driver or executor has left behind is never read. Totals are the sum of the committed batches;
+compact() replaces those by one snapshot, so that totals read one table and the batches since.
+
+Defined results: null source or language is a group of its own; a null text has no tokens; repeated rows count each; a
+very long text is counted whole; columns other than those named are ignored; groups whose documents and tokens have both
+come to zero are left out; no change at all gives an empty rollup.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,36 +50,99 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _fs(self):
+        return self._at("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _read(self, name: str) -> dict | None:
+        """The JSON of a small file, or nothing."""
+        fs, at = self._fs(), self._at(name)
+        if not fs.exists(at):
+            return None
+        src = fs.open(at)
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(src)))
+        finally:
+            src.close()
+
+    def _claim(self, name: str, content: dict) -> bool:
+        """Put a whole file in place unless one is there: the move fails where its target exists."""
+        jvm, fs, made = self.spark._jvm, self._fs(), self._at(f"attempts/{uuid.uuid4().hex}.json")
+        out = fs.create(made, False)
+        out.write(json.dumps(content).encode())
+        out.close()
+        fs.mkdirs(self._at(name).getParent())
+        try:
+            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), self.spark._jsc.hadoopConfiguration()).rename(made, self._at(name), none)
+            return True
+        except Py4JJavaError as error:
+            if not fs.exists(self._at(name)):
+                raise error
+            fs.delete(made, False)
+            return False
+
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._fs(), self._at(folder)
+        return sorted(x.getPath().getName().removesuffix(".json") for x in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _snapshot(self) -> tuple[int, dict]:
+        """The number and content of the newest snapshot: its folder, and the digests of the batches in it."""
+        found = self._names("snapshots")
+        return (int(found[-1]), self._read(f"snapshots/{found[-1]}.json")) if found else (0, {"folder": None, "batches": {}})
 
     def batches(self) -> list[str]:
-        """Ids of the finished batches."""
-        fs, at = self._fs(self.path)
-        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self._done(n.removeprefix("batch=")))
+        """Ids of the committed batches."""
+        return sorted({*self._snapshot()[1]["batches"], *self._names("batches")})
 
-    def _done(self, batch: str) -> bool:
-        fs, at = self._fs(f"{self.path}/batch={batch}/_SUCCESS")
-        return fs.exists(at)
+    def _write(self, summed: DataFrame) -> str:
+        folder = f"attempts/{uuid.uuid4().hex}"
+        summed.coalesce(1).write.parquet(f"{self.path}/{folder}")
+        return folder
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Apply a batch of signed rows; False, and no change, if it has been applied before."""
-        if self._done(batch):
-            return False
-        summed = deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum(F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
-        summed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return True
+        """Apply a batch of signed rows; False, and no change, if it has been applied before; ValueError if that was with other rows."""
+        folder = self._write(deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum(F.coalesce("n_tokens", F.lit(0))).alias("n_tokens")))
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{folder}")
+        digest = str(rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()[0])
+        if batch not in self._snapshot()[1]["batches"] and self._claim(f"batches/{batch}.json", {"folder": folder, "digest": digest}):
+            return True
+        self._fs().delete(self._at(folder), True)
+        before = (self._read(f"batches/{batch}.json") or {}).get("digest") or self._snapshot()[1]["batches"].get(batch)
+        if before != digest:
+            raise ValueError(f"batch {batch!r} has been committed with other rows")
+        return False
+
+    def _committed(self) -> tuple[int, dict[str, str], DataFrame | None]:
+        """The newest snapshot's number, the digests of all committed batches, and their rows."""
+        number, snapshot = self._snapshot()
+        since = {name: self._read(f"batches/{name}.json") for name in self._names("batches") if name not in snapshot["batches"]}
+        since = {name: x for name, x in since.items() if x is not None}
+        folders = [f"{self.path}/{x}" for x in [snapshot["folder"], *(x["folder"] for x in since.values())] if x]
+        return number, snapshot["batches"] | {name: x["digest"] for name, x in since.items()}, self.spark.read.schema(SCHEMA).parquet(*folders) if folders else None
 
     def totals(self) -> DataFrame:
-        done = self.batches()
-        if not done:
+        rows = self._committed()[2]
+        if rows is None:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/batch={b}" for b in done))
         summed = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return summed.where("n_docs <> 0 OR n_tokens <> 0")
 
+    def compact(self) -> bool:
+        """Replace the committed batches by one snapshot of their totals; False if another writer made the same number first."""
+        number, digests, rows = self._committed()
+        if rows is None:
+            return False
+        folder = self._write(rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
+        if not self._claim(f"snapshots/{number + 1:012d}.json", {"folder": folder, "batches": digests}):
+            self._fs().delete(self._at(folder), True)
+            return False
+        for name in digests:  # readers that still hold the older state read its folders, which stay
+            self._fs().delete(self._at(f"batches/{name}.json"), False)
+        return True
+
 
 def counted(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """source, lang, the exact count n_tokens and the estimate by bytes est_tokens of every document."""
@@ -89,11 +158,13 @@ def counted(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    """Documents are inserted with an estimate, revised to exact counts, and those without tokens deleted; each batch is sent twice."""
+    """Documents are inserted with an estimate, revised to exact counts, and those without tokens deleted; each batch is sent twice, before and after the first ones are compacted."""
     version = "byte_bpe_50k"
     docs = S.cut(counted(S.documents(spark, sf_dir), S.tokenizer_path(f"{version}.tiktoken")), "counts")
     rollup = Rollup(spark, S.scratch(spark, "rollup"))
-    for _ in range(2):
+    for turn in range(2):
+        if turn:
+            rollup.compact()
         rollup.commit("1-insert", insert(docs, version, "est_tokens"))
         rollup.commit("2-revise", revise(docs, version, "est_tokens", "n_tokens"))
         rollup.commit("3-delete", delete(docs.where("n_tokens = 0"), version, "n_tokens"))
