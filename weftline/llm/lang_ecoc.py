@@ -5,8 +5,9 @@ languages with a 1 there from those with a 0. A text's bits are decoded by loss:
 each bit weighted by how well its two sides separate. Two codewords that lose nearly alike make the text ambiguous.
 
 Defined results: `und` with score 0 and not ambiguous for a null text or one without a letter, and for every text if no
-labelled row was there to learn from; null languages are never learned; repeated rows each give a row; of a table only
-the id, the text and, to learn, the language are read.
+labelled row was there to learn from; null languages are never learned; repeated rows each give a row; a very long text is
+judged whole, WINDOW places at a time; other columns pass through `identify` with carry, whatever their names, but for
+those named like its results, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-#: Labelled rows to learn from, about; at most; a documented bound, they are chosen by a hash of the id.
+#: Labelled rows to learn from, about, at most: a documented bound; each language has an equal part of it, and they are chosen by a hash of the id.
 TRAIN_ROWS = 20_000
 #: Evidence of so many trigrams counts at most, and the loss difference under which a text is ambiguous.
 FULL_EVIDENCE, AMBIGUOUS = 60.0, 0.05
@@ -91,29 +92,32 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, rows: int) -> DataFrame:
-    """About rows of docs at most, by a hash of doc_id: the same ones wherever they lie."""
-    n = docs.count()
-    return docs if n <= rows else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+    """About rows of docs at most, as many of each language as of others (all of a rarer one), by a hash of doc_id: the same ones wherever they lie."""
+    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    each = rows / max(1, found.count())
+    share = found.select("lang", F.least(F.lit(1 << 30), (F.lit(each * (1 << 30)) / F.col("n"))).cast("long").alias("below"))
+    return docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.col("below"))
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learn from rows with a language outside the held-out fold. Counts come back from 16 tasks, whatever the input."""
+    """Learn from rows with a language outside the held-out fold. Trigram counts are summed by language before they come to the driver: at most BINS rows of each."""
     labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(S.crc_of_id(), F.lit(3)) != 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
         for block in S.blocks(batches, "text", 4 << 20):
             at, n = trigrams(block.column("text"))
             code = block.column("lang").dictionary_encode()
-            of = np.repeat(code.indices.to_numpy(zero_copy_only=False), n)
-            for k, lang in enumerate(code.dictionary.to_pylist()):
-                seen[lang] = seen.get(lang, 0) + np.bincount(at[of == k], minlength=BINS)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v.astype("<i8").tobytes() for v in seen.values()], pa.binary())], ["lang", "counts"])
-
-    total: dict[str, np.ndarray] = {}
-    for lang, data in sample(labelled, rows).select("lang", "text").repartition(16).mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        total[lang] = total.get(lang, 0) + np.frombuffer(bytes(data), "<i8")
+            both = np.repeat(code.indices.to_numpy(zero_copy_only=False).astype(np.int64), n) * BINS + at
+            key, times = np.unique(both, return_counts=True)
+            yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(key // BINS)), pa.array((key % BINS).astype(np.int32)), pa.array(times.astype(np.int64))], ["lang", "bin", "n"])
+
+    met = sample(labelled, rows).select("lang", "text").mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
+    code = met["lang"].combine_chunks().dictionary_encode() if met.num_rows else pa.array([], pa.string()).dictionary_encode()
+    if isinstance(code, pa.ChunkedArray):
+        code = code.combine_chunks()
+    of, bins, n = code.indices.to_numpy(zero_copy_only=False), met["bin"].to_numpy(), met["n"].to_numpy()
+    total = {lang: np.bincount(bins[of == k], weights=n[of == k], minlength=BINS) for k, lang in enumerate(code.dictionary.to_pylist())}
+    S.release()
     languages = sorted(total)
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros(0), np.zeros((BINS, 0), np.float32))
@@ -154,12 +158,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """lang_pred, lang_score and lang_ambiguous of every text: with the id, or with carry beside all columns of docs."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = ["lang_pred", "lang_score", "lang_ambiguous"]
-    kept = [c for c in docs.columns if c not in names] if carry else [id_col]
+    kept = S.others(docs, *names) if carry else [id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for block in S.blocks(batches, "__text", 4 << 20):
-            texts = block.column("__text")
+        for block in S.blocks(batches, "text", 4 << 20):
+            texts = block.column("text")
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False) & bool(model.languages)
             pred, score, near = np.array(["und"] * len(letters), object), np.zeros(len(letters)), np.zeros(len(letters), bool)
             if letters.any():
@@ -167,9 +171,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 pred[letters], score[letters], near[letters] = np.array(model.languages, object)[best[letters]], share[letters], close[letters]
             yield pa.RecordBatch.from_arrays([*(block.column(k) for k in range(len(kept))), pa.array(pred, pa.string()), pa.array(score), pa.array(near)], [*kept, *names])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    own = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
-    return own.mapInArrow(run, ", ".join([*fields, "lang_pred string, lang_score double, lang_ambiguous boolean"]))
+    own = docs.select(*(S.quoted(c).alias(f"kept_{k}") for k, c in enumerate(kept)), S.quoted(text_col).alias("text"))
+    return own.mapInArrow(run, S.fields(docs, kept, "lang_pred string, lang_score double, lang_ambiguous boolean"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
