@@ -6,8 +6,8 @@ words of four languages, numbers and rules, and is a secret if the log-likelihoo
 samples; what reaches the plan is one table of log ratios of a fixed size. Column functions only.
 
 Offsets are in code points, ends exclusive. Defined results: a null text counts as empty and has no span; a run that
-overlaps a pattern's span is not scored; repeated rows each give a row; `scan` and `masked` keep every column and replace
-`spans` if there is one; an empty table gives an empty result.
+overlaps a pattern's span is not scored; repeated rows each give a row; `scan` and `masked` keep every column, whatever its
+name, but replace `spans` if there is one; a very long text is scanned whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -143,20 +143,21 @@ def _found(text: Column, kind: str) -> Column:
 
 def scan(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
     """docs with spans, an array of start, end and kind (its place in KINDS) in ascending order."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "spans"]
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    found = docs.select(*kept, *(_found(body, kind).alias(f"_{kind}") for kind in KINDS))
-    of_kind = lambda k: F.transform(f"_{KINDS[k]}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind")))
-    base = F.flatten(F.array(*map(of_kind, range(3))))
+    names = S.others(docs, "spans")
+    kept = [S.quoted(c) for c in names]
+    body = F.coalesce(S.quoted(text), F.lit(""))
+    *of, based = S.apart([*names, "spans"], *KINDS, "based")
+    found = docs.select(*kept, *(_found(body, kind).alias(name) for kind, name in zip(KINDS, of, strict=True)))
+    of_kind = lambda k: F.transform(of[k], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind")))
     ratios = F.lit(table) if table else F.array().cast("array<double>")
     scored = F.filter(
-        "_markov",
-        lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (ratio(x["value"], ratios) >= THRESHOLD),
+        of[3],
+        lambda x: ~F.exists(based, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (ratio(x["value"], ratios) >= THRESHOLD),
     )
     more = F.transform(scored, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(3).alias("kind")))
-    based = found.select(*kept, base.alias("_base"), "_markov")
-    added = F.when(F.size("_markov") > 0, F.concat("_base", more)).otherwise(F.col("_base"))
-    return based.select(*kept, F.sort_array(F.transform(added, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))).alias("spans"))
+    own = found.select(*kept, F.flatten(F.array(*map(of_kind, range(3)))).alias(based), of[3])
+    added = F.when(F.size(of[3]) > 0, F.concat(based, more)).otherwise(F.col(based))
+    return own.select(*kept, F.sort_array(F.transform(added, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -168,7 +169,7 @@ def joined(spans: Column) -> Column:
 def masked(docs: DataFrame, table: list[float], text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with each span of the text replaced by mask, overlapping spans by one; other columns as they are."""
     found = scan(docs, table, text)
-    body = F.col(f"`{text}`")
+    body = S.quoted(text)
     out = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
