@@ -6,7 +6,8 @@ its rules, is bit arithmetic over the ledger and never reads a text again. Colum
 windows of words are found by sorting hashes of them inside the row.
 
 Defined results: a null or empty text has no words, fails `few_words` and no other rule; repeated rows each give a row;
-columns of other names pass through `ledger` unchanged, while columns named like its own are replaced; an empty table
+columns of any other names pass through `ledger` unchanged, while columns named like its measurements are replaced; a very long
+text is measured whole, its windows in one row's array; an empty table
 gives an empty ledger, and ablations of it have zero counts. Two different windows are taken as equal if their 64-bit
 hashes are.
 """
@@ -46,7 +47,7 @@ def mask(policy: str) -> int:
 
 
 def _repeated(words: str) -> Column:
-    """Words inside three-word windows that the text has twice or more."""
+    """Windows of three words as hashes with their places, in the order of the hashes."""
     windows = F.expr(f"""
         sort_array(transform(sequence(0, size({words}) - 3),
             i -> struct(xxhash64(get({words}, i), get({words}, i + 1), get({words}, i + 2)) AS h, i AS i)))""")
@@ -55,26 +56,28 @@ def _repeated(words: str) -> Column:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements, by column functions over the whole text."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in {*MEASURES, "_words", "_sorted", "_lines"}]
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    names = S.others(docs, *MEASURES)
+    kept = [S.quoted(c) for c in names]
+    words, lines, spaces, length, places = S.apart([*names, *MEASURES], "words", "lines", "spaces", "length", "places")
+    body = F.coalesce(S.quoted(text), F.lit(""))
     trimmed = F.btrim(body, F.lit(SPACE))
     split = docs.select(
         *kept,
-        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")).alias("_words"),
-        F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(SPACE)) != "").alias("_lines"),
-        (F.length(body) - F.length(F.translate(body, SPACE, ""))).alias("_spaces"),
+        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")).alias(words),
+        F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(SPACE)) != "").alias(lines),
+        (F.length(body) - F.length(F.translate(body, SPACE, ""))).alias(spaces),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.length(body).alias("_length"),
+        F.length(body).alias(length),
     )
     windows = split.select(
-        *kept, "n_symbols", F.size("_words").cast("long").alias("n_words"), (F.col("_length") - F.col("_spaces")).cast("long").alias("word_chars"),
-        F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeated("_words").alias("_sorted"),
+        *kept, "n_symbols", F.size(words).cast("long").alias("n_words"), (F.col(length) - F.col(spaces)).cast("long").alias("word_chars"),
+        F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        _repeated(words).alias(places),
     )
-    places = windows.withColumn("_sorted", F.expr("""
-        sort_array(transform(filter(_sorted, (w, k) -> w.h = get(_sorted, k - 1).h OR w.h = get(_sorted, k + 1).h), w -> w.i))"""))
-    covered = F.expr("aggregate(_sorted, struct(-3 AS at, 0L AS n), (a, i) -> struct(i AS at, a.n + least(3, i - a.at) AS n), a -> a.n)")
-    return places.select(*kept, *(c for c in MEASURES if c != "n_repeat_words"), covered.alias("n_repeat_words"))
+    twice = windows.withColumn(places, F.expr(f"""
+        sort_array(transform(filter({places}, (w, k) -> w.h = get({places}, k - 1).h OR w.h = get({places}, k + 1).h), w -> w.i))"""))
+    covered = F.expr(f"aggregate({places}, struct(-3 AS at, 0L AS n), (a, i) -> struct(i AS at, a.n + least(3, i - a.at) AS n), a -> a.n)")
+    return twice.select(*kept, *(c for c in MEASURES if c != "n_repeat_words"), covered.alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -104,10 +107,19 @@ def ablations(of_ledger: DataFrame, policy: str) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    """Every document judged by the newest policy; base_failed is that of base-1."""
-    judged = apply_policy(ledger(S.documents(spark, sf_dir).select("doc_id", "text")), "web-2")
+    """Every document's stored bits judged by the newest policy, and by the two before it; base_failed is that of base-1."""
+    stored = S.cut(ledger(S.documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "ledger")
+    older = apply_policy(stored, "web-1").withColumnRenamed("kept", "kept_web_1")
+    judged = apply_policy(older, "web-2")
     base = F.col("failed_bits").bitwiseAND(F.lit(mask("base-1"))) != 0
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "kept_web_1", "failed_bits")
+
+
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """For every policy and rule of it what the policy keeps with and without the rule, from one stored ledger."""
+    stored = S.cut(ledger(S.documents(spark, sf_dir).select("doc_id", "text")).select("failed_bits"), "ledger")
+    parts = [ablations(stored, policy).withColumn("policy", F.lit(policy)) for policy in POLICIES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("policy", "rule", "n_failed", "n_only", "n_kept", "n_kept_without")
 
 
 #: The same rows by another way: windows as strings, grouped over the whole table.
@@ -125,5 +137,15 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text,
       FROM w LEFT JOIN c USING (r)),
 f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
              + 8 * (100 * n_dup_lines > 40 * n_lines)::BIGINT + 16 * (word_chars < 3 * n_words)::BIGINT + 32 * (word_chars > 12 * n_words)::BIGINT)::BIGINT AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept,
+       (failed_bits & 15) = 0 AS kept_web_1, failed_bits FROM f
+"""
+ABLATIONS_SQL = (
+    SQL.rsplit("SELECT doc_id", 1)[0]
+    + """, r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbol_heavy', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32)),
+p(policy, bits) AS (VALUES ('base-1', 3), ('web-1', 15), ('web-2', 63))
+SELECT policy, rule, (SELECT count(*) FROM f WHERE failed_bits & bit <> 0) AS n_failed, (SELECT count(*) FROM f WHERE failed_bits & bits = bit) AS n_only,
+       (SELECT count(*) FROM f WHERE failed_bits & bits = 0) AS n_kept, (SELECT count(*) FROM f WHERE failed_bits & bits IN (0, bit)) AS n_kept_without
+FROM p JOIN r ON bits & bit <> 0
 """
+)

@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lp_packing": lp_packing.op8,
     "op9_token_rollup": token_rollup.op9,
     "op10_jaccard_join": jaccard_join.op10,
+    "quality_ablations": quality_ledger.quality_ablations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_ledger": quality_ledger.SQL, "op10_jaccard_join": jaccard_join.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_ledger": quality_ledger.SQL, "quality_ablations": quality_ledger.ABLATIONS_SQL, "op10_jaccard_join": jaccard_join.SQL}
