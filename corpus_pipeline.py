@@ -47,7 +47,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document and their places in sequences."""
-    return lp_packing.pack(docs, shared.tokenizer_path("byte_bpe_50k.tiktoken"), end_id=2)
+    return lp_packing.pack(docs, shared.tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
