@@ -1,16 +1,20 @@
 """Token ids in binary shards compressed by a grammar of repeated pairs (Re-Pair).
 
-A shard repeats: count adjacent pairs of symbols, give the frequent ones a nonterminal each, and replace them from the
-left. Many pairs are replaced in one pass, those whose places do not clash; no pair spans a document's end. The shard
-keeps the rules, how many ids each nonterminal stands for, and where each document begins among the symbols, so any
-document, and any id of it, is decoded without the ones before it.
+A shard repeats: count the adjacent pairs of symbols exactly (those of equal symbols without overlaps), give the most
+frequent ones a nonterminal each, and replace them, the more frequent one first where two places overlap. It ends when no
+pair has LEAST places or the 16-bit symbols are used up. Many pairs are replaced in a pass; no pair spans a document's
+end. The shard keeps the rules, how many ids each nonterminal stands for, and where each document begins among the
+symbols: a document is decoded without the ones before it, and an id of it by descending into the one symbol that the
+expansion lengths lead to.
 
-Shards follow the order of ids: the table is range-partitioned by id, a task writes its partition's shards one after
-another, and the numbers of ids before a shard come from one small total a partition. Shard files are named after the
-attempt that wrote them, and only those that a finished task has named are read.
+Texts are encoded before anything is moved: ids go to a table as 16-bit numbers, and that table is range-partitioned by
+id and a number of the row, so that rows of one id are split like any others. A task writes its partition's shards one
+after another, and the numbers of ids before a shard come from one small total a partition. Shard files are named after
+the attempt that wrote them, and only those that a finished task has named are read.
 
 Defined results: a null text counts as empty (the end id alone); rows of equal id follow each other in any order; null
-ids come first; an empty table gives an empty result.
+ids come first; a very long text is a shard of its own; columns other than the id and the text are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,96 +28,104 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared as S
 
 END_ID = 1
-#: Ids that are no nonterminals; passes over a shard; new rules of a pass at most; least number of a pair's places for a rule.
-TERMINALS, PASSES, PASS_RULES, LEAST = 49_408, 6, 2_600, 24
-#: Bits of the counting table; bytes of text that make a shard.
-TABLE_BITS, SHARD_BYTES = 20, 8 << 20
-MAGIC = b"WLRP0001"
+#: Symbols, a nonterminal's least number of places (its rule and length take as many bytes as so many places save, and twice that), and new rules of a pass at most.
+SYMBOLS, LEAST, PASS_RULES = 65_535, 8, 2_600
+#: Ids of a shard, about, and tasks that write shards, at most: beyond, each writes more of them.
+SHARD_IDS, WRITERS = 2_000_000, 50_000
+MAGIC = b"WLRP0002"
 _HEAD = "<8sQIIQ"  # magic, documents, rules, terminals, symbols
+#: No pair of symbols, and the bits and multipliers of the table that finds a pair's rule.
+_NONE, _BITS, _ODD = np.uint32(0xFFFFFFFF), 18, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
-def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = a.astype(np.uint32) * np.uint32(0x9E3779B1) ^ (b.astype(np.uint32) * np.uint32(0x85EBCA77))
-    return ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - TABLE_BITS)
+def pair_keys(seq: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """At each place its symbol and the next as one number; none at a document's last symbol, and at every other place of a run of one symbol."""
+    key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
+    key[ends[:-1]] = _NONE
+    twin = np.flatnonzero((seq[:-1] == seq[1:]) & (key != _NONE))
+    if len(twin):
+        place = np.arange(len(twin))
+        begin = np.maximum.accumulate(np.where(np.diff(twin, prepend=-2) > 1, place, 0))
+        key[twin[(place - begin) & 1 == 1]] = _NONE
+    return key
 
 
-def compress(ids: np.ndarray, last: np.ndarray, terminals: int = TERMINALS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, the documents' numbers of symbols, and the rules as pairs. last marks the last id of each document."""
-    seq, last = ids.astype(np.uint16), last.copy()
-    rules: list[np.ndarray] = []
-    made = terminals
-    for _ in range(PASSES):
-        if len(seq) < 2 or made >= 65_535:
-            break
-        h = _hash(seq[:-1], seq[1:])
-        h[last[:-1]] = 1 << TABLE_BITS  # a pair may not begin at a document's last symbol
-        counts = np.bincount(h, minlength=(1 << TABLE_BITS) + 1)[:-1]
-        most = min(PASS_RULES, 65_535 - made)
-        top = np.argpartition(counts, -most)[-most:]
-        top = top[counts[top] >= LEAST]
-        if not len(top):
-            break
-        slot = np.full((1 << TABLE_BITS) + 1, -1, np.int32)
-        slot[top] = np.arange(len(top))
-        rule = slot[h]
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        a, b = seq[at], seq[at + 1]
-        left, right = np.zeros(len(top), np.uint16), np.zeros(len(top), np.uint16)
-        left[rule], right[rule] = a, b  # one pair for each place of the table
-        same = (left[rule] == a) & (right[rule] == b)
-        at, rule = at[same], rule[same]
-        if not len(at):
-            break
-        place = np.arange(len(at))
-        begin = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) > 1]), place, 0))
-        other = (place - begin) % 2 == 0  # of adjacent places take every other one
-        at, rule = at[other], rule[other]
-        often = np.bincount(rule, minlength=len(top))
-        good = often >= LEAST
-        number = np.cumsum(good) - 1
-        taken = good[rule]
-        at, rule = at[taken], rule[taken]
-        if not len(at):
+def frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of least places or more and their exact numbers, the most frequent first."""
+    ordered = np.sort(key)
+    starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    n = np.diff(starts, append=len(ordered))
+    pair = ordered[starts]
+    often = (n >= least) & (pair != _NONE)
+    pair, n = pair[often], n[often]
+    order = np.argsort(-n, kind="stable")
+    return pair[order], n[order]
+
+
+def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, the documents' numbers of symbols, and the rules as pairs; counts are the documents' numbers of ids, 1 at least."""
+    seq, ends = ids.astype(np.uint16), np.cumsum(counts) - 1
+    rules, made, turn = [np.zeros((0, 2), np.uint16)], terminals, 0
+    slot = np.full(1 << _BITS, -1, np.int16)
+    while len(seq) > 1 and made < SYMBOLS:
+        key = pair_keys(seq, ends)
+        pair = frequent(key, LEAST)[0][: min(PASS_RULES, SYMBOLS - made)]
+        if not len(pair):
             break
-        seq = seq.copy()
-        seq[at] = (made + number[rule]).astype(np.uint16)
-        last[at] |= last[at + 1]
+        # pairs in one slot: the most frequent goes now, others in a later pass, by another multiplier
+        mix, turn = np.uint32(_ODD[turn % len(_ODD)]), turn + 1
+        own = (pair * mix) >> np.uint32(32 - _BITS)
+        slot[own[::-1]] = np.arange(len(pair) - 1, -1, -1)
+        rank = slot[(key * mix) >> np.uint32(32 - _BITS)]
+        slot[own] = -1
+        at = np.flatnonzero(rank >= 0)
+        rank = rank[at]
+        same = pair[rank] == key[at]
+        at, rank = at[same], rank[same]
+        # of overlapping places the more frequent pair's stays; the most frequent pair of all keeps every place
+        near = np.diff(at) == 1
+        lost = np.zeros(len(at), bool)
+        lost[1:] |= near & (rank[:-1] <= rank[1:])
+        lost[:-1] |= near & (rank[1:] < rank[:-1])
+        at, rank = at[~lost], rank[~lost]
+        good = np.bincount(rank, minlength=len(pair)) >= LEAST
+        taken = good[rank]
+        at, rank = at[taken], rank[taken]
+        seq[at] = (made + np.cumsum(good) - 1)[rank]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules.append(np.stack([left[good], right[good]], 1))
+        seq, ends = np.compress(keep, seq), ends - np.searchsorted(at + 1, ends, side="right")
+        rules.append(np.stack([pair[good] >> np.uint32(16), pair[good] & np.uint32(0xFFFF)], 1).astype(np.uint16))
         made += int(good.sum())
-    ends = np.flatnonzero(last) + 1
-    return seq, np.diff(np.concatenate([[0], ends])), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
+    return seq, np.diff(ends, prepend=-1), np.concatenate(rules)
 
 
 def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All symbols' ids one after another, where each begins, and how many they are."""
-    parts = [np.arange(terminals, dtype=np.uint16)]
     own: list[np.ndarray] = []
-    of = lambda s: own[s - terminals] if s >= terminals else parts[0][s : s + 1]
+    one = np.arange(terminals, dtype=np.uint16)
+    of = lambda s: own[s - terminals] if s >= terminals else one[s : s + 1]
     for a, b in rules.tolist():
         own.append(np.concatenate([of(a), of(b)]))
     size = np.concatenate([np.ones(terminals, np.int64), np.fromiter(map(len, own), np.int64, len(own))])
-    return np.concatenate(parts + own), S.excl(size), size
+    return np.concatenate([one, *own]), S.excl(size), size
 
 
-def write_shard(out, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
+def write_shard(out, keys: list, ids: np.ndarray, counts: np.ndarray, terminals: int) -> None:
     """One file: head, rules, expansion lengths, and for each document its id, its number of ids and of symbols; then symbols."""
-    last = np.zeros(len(ids), bool)
-    last[np.cumsum(counts) - 1] = True
-    seq, symbols, rules = compress(ids, last)
-    size = expansions(rules, TERMINALS)[2][TERMINALS:]
-    out.write(struct.pack(_HEAD, MAGIC, len(counts), len(rules), TERMINALS, len(seq)))
+    seq, symbols, rules = compress(ids, counts, terminals)
+    size = [1] * terminals
+    for a, b in rules.tolist():
+        size.append(size[a] + size[b])
+    out.write(struct.pack(_HEAD, MAGIC, len(counts), len(rules), terminals, len(seq)))
     out.write(rules.astype("<u2").tobytes())
-    out.write(size.astype("<u4").tobytes())
+    out.write(np.array(size[terminals:], "<u4").tobytes())
     out.write(np.array([k is None for k in keys], np.uint8).tobytes())
     out.write(np.array([k or 0 for k in keys], "<i8").tobytes())
     out.write(counts.astype("<u8").tobytes())
@@ -122,7 +134,7 @@ def write_shard(out, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
 
 
 class Shard:
-    """An open shard: documents by place."""
+    """An open shard: documents by place, and ids of a document by their place in it."""
 
     def __init__(self, src):
         self.src = src
@@ -130,43 +142,106 @@ class Shard:
         if magic != MAGIC:
             raise ValueError("not a shard")
         take = lambda kind, n: np.frombuffer(src.read(np.dtype(kind).itemsize * n), kind)
-        rules, self.lengths = take("<u2", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
+        self.rules, self.lengths = take("<u2", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
         absent, keys = take("u1", self.documents), take("<i8", self.documents)
         self.keys = [None if a else k for a, k in zip(absent.tolist(), keys.tolist(), strict=True)]
         self.counts, self.sizes = take("<u8", self.documents).astype(np.int64), take("<u8", self.documents).astype(np.int64)
         self.first = S.excl(self.sizes)
         self.base = struct.calcsize(_HEAD) + 8 * n_rules + 25 * self.documents
-        self.flat, self.start, self.size = expansions(rules, self.terminals)
+        self.table = None
+
+    def _symbols(self, a: int, b: int) -> np.ndarray:
+        self.src.seek(self.base + 2 * int(self.first[a]))
+        return np.frombuffer(self.src.read(2 * int(self.sizes[a:b].sum())), "<u2").astype(np.int64)
 
     def decode(self, a: int, b: int) -> np.ndarray:
         """Ids of the documents from place a to before place b; only their own symbols are read."""
         if a >= b:
             return np.zeros(0, np.uint16)
-        self.src.seek(self.base + 2 * int(self.first[a]))
-        seq = np.frombuffer(self.src.read(2 * int(self.sizes[a:b].sum())), "<u2").astype(np.int64)
-        return S.ragged(self.flat, self.start[seq], self.size[seq])
+        self.table = self.table or expansions(self.rules, self.terminals)
+        flat, start, size = self.table
+        seq = self._symbols(a, b)
+        return S.ragged(flat, start[seq], size[seq])
+
+    def ids(self, place: int, a: int, b: int) -> list[int]:
+        """Ids a to before b of the document at place; expansion lengths tell which symbols hold them, and rules elsewhere are not expanded."""
+        seq = self._symbols(place, place + 1)
+        length = lambda s: int(self.lengths[s - self.terminals]) if s >= self.terminals else 1
+        ends = np.cumsum(np.where(seq >= self.terminals, self.lengths[np.maximum(seq - self.terminals, 0)] if len(self.lengths) else 1, 1))
+        i, j = np.searchsorted(ends, a, side="right"), np.searchsorted(ends, b, side="left") + 1
+        at, out = int(ends[i - 1]) if i else 0, []
+        stack = seq[i:j].tolist()[::-1] if a < b else []
+        while stack and at < b:
+            s = stack.pop()
+            n = length(s)
+            if at + n <= a:
+                at += n
+            elif s < self.terminals:
+                out.append(s)
+                at += 1
+            else:
+                left, right = self.rules[s - self.terminals].tolist()
+                stack += [right, left]
+        return out
+
+
+def encoded(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
+    """id, row (a number that rows of one id differ in), ids (16 bits each, with the end id) and n of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, row = S.library_encoder(path, False), TaskContext.get().partitionId() << 40
+        for block in S.blocks(batches, "text"):
+            ids, n = encode(block.column("text"))
+            data = np.insert(ids, np.cumsum(n), END_ID).astype("<u2").tobytes()
+            edges = np.concatenate([[0], np.cumsum(2 * (n + 1))])
+            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.arange(row, row + len(n))), binary.cast(pa.binary()), pa.array(n + 1)], ["id", "row", "ids", "n"])
+            row += len(n)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, row long, ids binary, n long")
 
 
 def write(docs: DataFrame, path: str, root: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts, write shards under root in ascending order of ids, and return the table of shards: part, number, file, documents, ids."""
+    terminals = S.vocabulary_size(path)
+    if terminals >= SYMBOLS:
+        raise ValueError(f"{terminals} ids leave no 16-bit symbols for rules")
+    place = S.scratch(docs.sparkSession, "ids")
+    own = S.cut(encoded(docs, path, id_col, text_col), "ids", place)
+    total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(root)
         system.create_dir(base, recursive=True)
-        encode, part, done = S.library_encoder(path, False), TaskContext.get().partitionId(), []
-        for block in S.blocks(batches, "text", SHARD_BYTES):
-            ids, n = encode(block.column("text"))
-            ends = np.cumsum(n)
-            whole = np.insert(ids.astype(np.int64), ends, END_ID)
+        part, done = TaskContext.get().partitionId(), []
+
+        def put(held: list[pa.RecordBatch]) -> None:
             name = f"{part:08d}-{len(done):06d}-{uuid.uuid4().hex}.rp"
+            keys = [k for b in held for k in b.column("id").to_pylist()]
+            counts = np.concatenate([b.column("n").to_numpy() for b in held])
+            ids = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for b in held for x in b.column("ids")])
             with system.open_output_stream(f"{base}/{name}") as out:
-                write_shard(out, block.column("id").to_pylist(), whole, n + 1)
-            done.append((part, len(done), f"{root}/{name}", block.num_rows, len(whole)))
+                write_shard(out, keys, ids, counts, terminals)
+            done.append((part, len(done), f"{root}/{name}", len(counts), len(ids)))
+
+        held, n = [], 0
+        for block in S.blocks(batches, "ids", 2 * SHARD_IDS):
+            own = int(block.column("n").to_numpy().sum())
+            if held and n + own > 1.5 * SHARD_IDS:
+                put(held)
+                held, n = [], 0
+            held.append(block)
+            n += own
+        if held:
+            put(held)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["part", "number", "file", "n_docs", "n_ids"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return own.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, "part long, number long, file string, n_docs long, n_ids long")
+    parts = max(1, min(WRITERS, -(-total // SHARD_IDS)))
+    ranged = own.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row").select("id", "ids", "n")
+    shards = S.cut(ranged.mapInArrow(run, "part long, number long, file string, n_docs long, n_ids long"), "shard-table")
+    S.drop_path(docs.sparkSession, place)
+    return shards
 
 
 def read(spark: SparkSession, shards: DataFrame, id_name: str = "doc_id") -> DataFrame:
@@ -176,8 +251,6 @@ def read(spark: SparkSession, shards: DataFrame, id_name: str = "doc_id") -> Dat
     for part, n in totals:
         before.append((part, start))
         start += n
-    from pyspark.sql import Window
-
     within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     placed = shards.join(F.broadcast(spark.createDataFrame(before, "part long, base long")), "part").withColumn("at", F.col("base") + F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
 
@@ -199,4 +272,4 @@ def read(spark: SparkSession, shards: DataFrame, id_name: str = "doc_id") -> Dat
 
 def op6(spark, sf_dir: str) -> DataFrame:
     root = S.scratch(spark, "shards")
-    return read(spark, S.cut(write(S.documents(spark, sf_dir), S.tokenizer_path("word_bpe_49k.json"), root), "shard-table"))
+    return read(spark, write(S.documents(spark, sf_dir), S.tokenizer_path("word_bpe_49k.json"), root))
