@@ -118,6 +118,11 @@ def section_label(headings) -> Column:
     return F.when(F.size(col(headings)) > 0, F.array_join(col(headings), " > ")).otherwise(F.lit("(document start)"))
 
 
+def section_of_json(path) -> Column:
+    """The label of a heading path kept as JSON; what is no array of texts counts as none."""
+    return section_label(F.coalesce(F.from_json(col(path), "array<string>"), F.array().cast("array<string>")))
+
+
 def strip_front_matter(x: Column | str) -> Column:
     """The body after a first block between lines of three hyphens."""
     return F.regexp_replace(col(x), r"(?s)\A---\n.*?\n---\n\s*", "")

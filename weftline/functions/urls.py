@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,8 +55,24 @@ def topic(breadcrumbs: Column | str) -> Column:
 
 
 def sitemap(xml: Column | str) -> Column:
-    """sitemaps: places of nested sitemaps, pages: those of pages; both empty for any other document."""
-    places = F.transform(F.xpath(col(xml), F.lit("/*/*[local-name()='sitemap' or local-name()='url']/*[local-name()='loc']/text()")), lambda x: F.btrim(x))
-    root = F.xpath_string(col(xml), F.lit("local-name(/*)"))
-    none = F.array().cast("array<string>")
-    return F.struct(F.when(root == "sitemapindex", places).otherwise(none).alias("sitemaps"), F.when(root == "urlset", places).otherwise(none).alias("pages"))
+    """sitemaps: places of nested sitemaps, pages: those of pages, both empty for any other document; error: why it is not XML.
+
+    Sitemaps are few beside pages; they are read in Python, where a malformed one is a row like any other.
+    """
+    return F.pandas_udf(_read_sitemaps, "sitemaps array<string>, pages array<string>, error string")(col(xml))
+
+
+def _read_sitemaps(documents: pd.Series) -> pd.DataFrame:
+    bare = lambda element: element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
+    rows = []
+    for document in documents:
+        found: dict[str, list[str]] = {"sitemapindex": [], "urlset": []}
+        error = None
+        try:
+            root = ElementTree.fromstring((document or "").strip())
+            places = [(place.text or "").strip() for entry in root if bare(entry) in ("sitemap", "url") for place in entry if bare(place) == "loc"]
+            found[bare(root)] = [p for p in places if p]
+        except (ElementTree.ParseError, ValueError) as raised:
+            error = f"{type(raised).__name__}: {raised}"
+        rows.append((found["sitemapindex"], found["urlset"], error))
+    return pd.DataFrame(rows, columns=["sitemaps", "pages", "error"])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -240,7 +241,11 @@ class PieceEncoder:
 
 
 def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    """Little-endian unsigned 32-bit ids."""
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -251,14 +256,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=1)
+def shown_bytes() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 def read_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     """Token bytes and ids of a byte-level vocabulary in the tokenizers library's file format, and its special tokens' ids."""
     import json
 
     with open(path, encoding="utf-8") as src:
         made = json.load(src)
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
-    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    byte_of = {c: b for b, c in enumerate(shown_bytes())}
     special = {x["content"]: x["id"] for x in made["added_tokens"]}
     return {bytes(map(byte_of.__getitem__, token)): k for token, k in made["model"]["vocab"].items() if token not in special}, special
 
@@ -288,18 +300,22 @@ def rank_encoder(path: str) -> PieceEncoder:
 class WordEncoder:
     """A word-end vocabulary by the tokenizers library, on the words inside of pieces.
 
-    A piece that ends in punctuation is a word and that punctuation, since no pre-token holds both. A word of ASCII letters
-    is a pre-token as it is, so the library's model alone encodes it; others go through its normalizer and pre-tokenizer.
+    A piece that ends in punctuation is a word and that punctuation, since no pre-token holds both. A word of small Latin
+    letters is a pre-token as it is, so the library's model alone encodes its bytes (in the letters that stand for them);
+    others go through the library's normalizer and pre-tokenizer.
     """
 
     CLOSING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     #: Last characters that are a letter or number before and after normalization.
     CLOSED = "[A-Za-z0-9ßà-öø-ÿ]$"
+    #: Words that the normalizer leaves as they are and that are one pre-token.
+    PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
     def __init__(self, path: str):
         self.own = _library(path)
         special = [re.escape(x.content) for x in self.own.get_added_tokens_decoder().values()]
         self.special = f"(?i){'|'.join(special)}" if special else "$^"
+        self.letters = {code: "".join(shown_bytes()[b] for b in chr(code).encode()) for code in range(0xDF, 0x100)}
         self.memo = Memo()
 
     def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -320,8 +336,8 @@ class WordEncoder:
         return ragged(flat, excl(sizes)[units.ravel()], each.ravel()), each.sum(1)
 
     def encode(self, words: list[str]) -> list[bytes]:
-        tokenize = self.own.model.tokenize
-        out = [pack([t.id for t in tokenize(w)]) if w.isalpha() and w.isascii() and w.islower() else None for w in words]
+        tokenize, plain, table = self.own.model.tokenize, self.PLAIN, self.letters
+        out = [pack([t.id for t in tokenize(w if w.isascii() else w.translate(table))]) if plain(w) else None for w in words]
         rest = [k for k, v in enumerate(out) if v is None]
         for k, e in zip(rest, self.own.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = pack(e.ids)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, preview, query_key
+from ..sources.tables import settled
 
 ENTRY_KEYS = ["query", "targets", "expected_answer_points"]
 
@@ -21,11 +22,12 @@ def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def sequential_ids(df: DataFrame, order: str, offset: int = 0) -> DataFrame:
-    """query_id of five digits, counting from offset + 1 in order: ranges of the order are counted first, then rows within.
+    """query_id of five digits or more, counting from offset + 1 in order: ranges of the order are counted first, then rows within.
 
-    The offsets of at most as many ranges as there are shuffle partitions come to the driver.
+    The ranges are written once, so that both counts see the same ones. The offsets of at most as many ranges as there are
+    shuffle partitions come to the driver.
     """
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    ranged = settled(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
     counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
     before, total = {}, offset
     for part, n in counts:
@@ -34,7 +36,7 @@ def sequential_ids(df: DataFrame, order: str, offset: int = 0) -> DataFrame:
         return df.withColumn("query_id", F.lit("").cast("string"))
     start = F.get(F.lit([before.get(p, 0) for p in range(max(before) + 1)]), F.col("_part"))
     n = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return ranged.withColumn("query_id", F.lpad((start + n).cast("string"), 5, "0")).drop("_part")
+    return ranged.withColumn("query_id", F.format_string("%05d", (start + n).cast("long"))).drop("_part")
 
 
 def complete(annotations: DataFrame, manifest: DataFrame, texts: DataFrame) -> DataFrame:
@@ -79,3 +81,24 @@ def previews(targets: DataFrame, texts: DataFrame) -> DataFrame:
     """Targets with one line of what they span."""
     own = targets.join(texts, "document_id")
     return own.withColumn("preview", preview(extract(F.col("text"), F.col("start"), F.col("end")))).drop("text")
+
+
+def format_approved(annotated: DataFrame, manifest: DataFrame, texts: DataFrame, last: int = 0) -> DataFrame:
+    """Approved candidates as golden rows, numbered from last + 1 in the order of pos: targets by document path, with the text that their spans hold.
+
+    annotated(pos, query, targets, expected_answer_points), a target being document_path and char_span; manifest(
+    processed_file_path, source_url, document_id, pos), of which the first row of a path counts; texts(document_path, text).
+    A target whose path is unknown has no document and no text.
+    """
+    known = first_by(manifest, "processed_file_path", "pos").select(F.col("processed_file_path").alias("document_path"), "source_url", "document_id")
+    each = annotated.select("pos", F.posexplode("targets").alias("n", "target")).select("pos", "n", "target.*").join(known, "document_path", "left").join(texts, "document_path", "left")
+    span = extract(F.col("text"), F.get("char_span", F.lit(0)), F.get("char_span", F.lit(1)))
+    made = F.struct("document_id", "document_path", span.alias("relevant_span"), F.col("source_url").alias("relevant_url"), "char_span")
+    targets = each.groupBy("pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", made.alias("target")))), lambda x: x["target"]).alias("targets"))
+    rows = annotated.drop("targets").join(targets, "pos", "left")
+    return sequential_ids(rows, "pos", last).select("query_id", "query", F.lit("general").alias("query_type"), F.lit("easy").alias("answer_type"), "targets", "expected_answer_points")
+
+
+def seeded(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
+    """n rows in an order that a seed and the keys decide: the same rows on every run. This is a sampling operator."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)

@@ -6,10 +6,17 @@ A result table has query_id, id, rank (from 1) and distance (less is better).
 from __future__ import annotations
 
 import math
+import time
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import section_of_json
 
 RRF_CONSTANT = 60
 
@@ -86,3 +93,37 @@ def rerank(candidates: DataFrame, texts: DataFrame, queries: DataFrame, score, t
     scored = own.join(texts.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id").withColumn("rerank_score", F.round(score(F.col("query"), F.col("text")), 6)).drop("text", "query")
     best = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "original_rank", "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).withColumn("distance", -F.col("rerank_score")).withColumn("rerank_model", F.lit(model))
+
+
+def presented(results: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """Results with what a reader sees: title, section (of the heading path kept as JSON), source_url and text; missing texts are empty."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    own = chunks.select(F.col(id_col).alias("id"), text("title"), section_of_json("heading_path").alias("section"), text("source_url"), text("text"))
+    return results.join(own, "id")
+
+
+class PairScorer(Protocol):
+    """Scores pairs of a query and a text; one is made for each task."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+def rerank_by_model(candidates: DataFrame, texts: DataFrame, queries: DataFrame, make: Callable[[], PairScorer], top_k: int, model: str, batch: int = 32) -> DataFrame:
+    """rerank with a scorer that sees batch pairs at a time; rerank_seconds is what a pair's batch took, divided by its pairs."""
+    own = candidates.join(texts.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id").select("query_id", "id", "query", "text")
+    kinds = T.StructType([own.schema["query_id"], own.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("rerank_seconds", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = make()
+        for whole in batches:
+            for first in range(0, whole.num_rows, batch):
+                part = whole.slice(first, batch)
+                began = time.perf_counter()
+                made = scorer.score(list(zip(part.column("query").to_pylist(), part.column("text").to_pylist(), strict=True)))
+                each = (time.perf_counter() - began) / part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.float64()), pa.array([each] * part.num_rows)], ["query_id", "id", "score", "rerank_seconds"])
+
+    scored = own.mapInArrow(run, kinds)
+    joined = candidates.withColumnRenamed("rank", "original_rank").withColumnRenamed("distance", "original_distance").join(scored, ["query_id", "id"]).withColumn("rerank_score", F.round("score", 6)).drop("score")
+    best = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "original_rank", "id")
+    return joined.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).withColumn("distance", -F.col("rerank_score")).withColumn("rerank_model", F.lit(model))

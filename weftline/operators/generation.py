@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse, shorten
 
 MAX_CHUNK_CHARS = 1600
-INSTRUCTION = "Answer the question using only the retrieved documentation context. If the context is insufficient, say what is missing instead of guessing."
+#: What a prompt and a judge's prompt say around their parts; both may be replaced.
+INSTRUCTION = "Use the numbered excerpts below and nothing else to answer. Where they do not hold the answer, name what they lack."
+JUDGE_PARTS = ("Asked:", "Excerpts given:", "Excerpt", "Answer to be judged:", "Points a good answer makes:")
+NOTHING = "No chunks retrieved."
 CRITERIA = ["context_relevance", "groundedness", "answer_relevance"]
 JUDGEMENT = "struct<" + ",".join(f"{c}:struct<explanation:string,score:int>" for c in CRITERIA) + ">"
 ERRORS = ["retrieval_error", "generation_error", "judge_error"]
@@ -31,7 +34,7 @@ class ExtractiveProvider:
         for line in messages[-1]["content"].splitlines():
             if line.startswith("Text: "):
                 return line.removeprefix("Text: ")
-        return "No chunks retrieved."
+        return NOTHING
 
 
 def context_block(rank: Column, title: Column, section: Column, source: Column, text: Column, limit: int = MAX_CHUNK_CHARS) -> Column:
@@ -45,8 +48,8 @@ def prompts(queries: DataFrame, retrieved: DataFrame, instruction: str = INSTRUC
     """query_id, query and user_prompt; retrieved has query_id, rank, title, section, source_url and text, a few rows a query."""
     block = context_block(F.col("rank"), F.col("title"), F.col("section"), F.col("source_url"), F.col("text"), limit)
     blocks = retrieved.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("block")))).alias("blocks"))
-    context = F.coalesce(F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"), F.lit("No chunks retrieved."))
-    user = F.concat(F.lit(f"{instruction}\n\nQuestion:\n"), F.col("query"), F.lit("\n\nRetrieved context:\n"), context)
+    context = F.coalesce(F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"), F.lit(NOTHING))
+    user = F.concat(F.lit(f"{instruction}\n\nAsked:\n"), F.col("query"), F.lit("\n\nExcerpts:\n"), context)
     return queries.join(blocks, "query_id", "left").select("query_id", "query", user.alias("user_prompt"))
 
 
@@ -55,10 +58,12 @@ def truncated_chunks(retrieved: DataFrame, limit: int = MAX_CHUNK_CHARS) -> Data
     return retrieved.withColumn("text_char_count", F.length(collapse("text"))).where(F.col("text_char_count") > limit)
 
 
-def judge_prompt(query: Column, texts: Column, answer: Column, points: Column) -> Column:
-    """All that a judge sees: the question, the chunks in order, the answer and the points expected of it."""
-    chunks = F.array_join(F.transform(texts, lambda t, k: F.concat(F.lit("Chunk "), (k + 1).cast("string"), F.lit(":\n"), t)), "\n")
-    return F.concat(F.lit("\nQuery:\n"), query, F.lit("\n\nRetrieved Context:\n"), chunks, F.lit("\n\nGenerated Answer:\n"), answer, F.lit("\n\nExpected Answer Points:\n"), F.array_join(points, "\n"), F.lit("\n"))
+def judge_prompt(query: Column, texts: Column, answer: Column, points: Column, parts: tuple[str, ...] = JUDGE_PARTS) -> Column:
+    """All that a judge sees: the question, the chunks in order, the answer and the points expected of it, each under its heading."""
+    asked, given, one, judged_, wanted = parts
+    chunks = F.array_join(F.transform(texts, lambda t, k: F.concat(F.lit(f"{one} "), (k + 1).cast("string"), F.lit(":\n"), t)), "\n")
+    sections = [(asked, query), (given, chunks), (judged_, answer), (wanted, F.array_join(points, "\n"))]
+    return F.concat_ws("\n\n", *(F.concat(F.lit(f"{name}\n"), body) for name, body in sections))
 
 
 def call(rows: DataFrame, prompt_col: str, make_provider: Callable[[], Provider], system: str, answer: str, error: str) -> DataFrame:

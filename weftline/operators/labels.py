@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import overlap
 
@@ -17,11 +19,13 @@ NEEDLE_CHARS = 32 << 20
 def find_spans(docs: DataFrame, needles: DataFrame, id_col: str, text_col: str, needle_id: str, needle_col: str, first: bool = False) -> DataFrame:
     """needle_id, id, start and end of every place of every needle in every document; with first only its first place.
 
-    All needles of a block are found in one pass over a text by an automaton; blocks bound what is shipped.
+    Ids keep their types. All needles of a block are found in one pass over a text by an automaton; blocks bound what is shipped.
     """
     spark = docs.sparkSession
     given = needles.where(F.length(needle_col) > 0).select(F.col(needle_id).alias("needle_id"), F.col(needle_col).alias("needle"))
     blocks = max(1, -(-int(given.agg(F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()[0]) // NEEDLE_CHARS))
+    schema = T.StructType([T.StructField("needle_id", needles.schema[needle_id].dataType), T.StructField("id", docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
     out = None
     for part in range(blocks):
         own = given if blocks == 1 else given.where(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == part)
@@ -47,9 +51,9 @@ def find_spans(docs: DataFrame, needles: DataFrame, id_col: str, text_col: str,
                                 seen.add(k)
                                 rows.append((k, key, last + 1 - size, last + 1))
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["needle_id", "id", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["needle_id", "id", "start", "end"])
 
-        found = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "needle_id long, id long, start long, end long")
+        found = docs.select(id_col, text_col).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

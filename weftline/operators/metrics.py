@@ -83,3 +83,14 @@ def unique_labels(labels: DataFrame) -> DataFrame:
     same = Window.partitionBy("label")
     n = F.row_number().over(same.orderBy("pos"))
     return labels.withColumn("unique_label", F.when(F.count(F.lit(1)).over(same) > 1, F.concat(F.col("label"), F.lit(" #"), n.cast("string"))).otherwise(F.col("label")))
+
+
+def all_cutoffs(runs: DataFrame) -> DataFrame:
+    """Cutoffs that any run has, and in how many runs."""
+    return runs.groupBy("k").agg(F.countDistinct("label").alias("n_runs"))
+
+
+def level_values(paths: DataFrame, col: str) -> DataFrame:
+    """Of paths (arrays): for each level from 0 the number of rows that reach it, of different values there, and of rows that end there."""
+    each = paths.where(F.size(col) > 0).select(F.size(col).alias("depth"), F.posexplode(col).alias("level", "value"))
+    return each.groupBy("level").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("value").alias("n_values"), F.count_if(F.col("depth") == F.col("level") + 1).alias("n_deepest"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Query vectors that are shipped to executors at once.
-BLOCK = 4096
+#: Query vectors that are shipped to executors at once, and vectors that a task compares with them at once.
+BLOCK, SLICE = 4096, 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -59,43 +61,55 @@ class Probes:
         return out
 
 
+def _best(table: pa.Table, k: int) -> pa.Table:
+    """The first k rows of each query by distance, then id."""
+    table = table.sort_by([("query", "ascending"), ("distance", "ascending"), ("id", "ascending")]).combine_chunks()
+    query = table["query"].to_numpy()
+    starts = np.flatnonzero(np.diff(query, prepend=-1))
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(starts, append=len(query)))
+    return table.filter(pa.array(place < k))
+
+
 def _nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, query_id: str, query_vector: str, buckets: Callable[[np.ndarray], Probes] | None = None) -> DataFrame:
-    """The k nearest of each query, with buckets of those that meet it there."""
+    """The k nearest of each query, with buckets of those that meet it there. Ids keep their types."""
     spark = vectors.sparkSession
+    id_type, query_type = vectors.schema[id_col].dataType, queries.schema[query_id].dataType
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())])
     parts = max(1, -(-queries.count() // BLOCK))
     near = None
     for part in range(parts):
         own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part)
-        rows = own.select(F.col(query_id).cast("long"), query_vector).toArrow()
+        rows = own.select(query_id, query_vector).toArrow()
         if not rows.num_rows:
             continue
         matrix = _matrix(rows.column(1).combine_chunks())
-        shipped = spark.sparkContext.broadcast((rows.column(0).to_numpy(), matrix, buckets(matrix) if buckets else None))
+        shipped = spark.sparkContext.broadcast((rows.column(0).combine_chunks(), matrix, buckets(matrix) if buckets else None))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             ids, matrix, probed = shipped.value
-            held_id, held = None, None
+            held, n = [], 0
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                key = batch.column(0).to_numpy()
-                own = _matrix(batch.column(1))
-                distance = np.round(1 - matrix @ own.T, 6)
-                if probed is not None:
-                    distance[~probed.meet(own)] = np.inf
-                key = np.broadcast_to(key, distance.shape)
-                if held is not None:
-                    key, distance = np.concatenate([held_id, key], 1), np.concatenate([held, distance], 1)
-                order = np.lexsort((key, distance), axis=1)[:, :k]
-                held_id, held = np.take_along_axis(key, order, 1), np.take_along_axis(distance, order, 1)
-            if held is not None:
-                met = np.isfinite(held)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, met.sum(1))), pa.array(held_id[met]), pa.array(held[met])], ["query_id", "id", "distance"])
-
-        found = vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, "query_id long, id long, distance double")
+                for first in range(0, batch.num_rows, SLICE):
+                    key, own = batch.column(0).slice(first, SLICE), _matrix(batch.column(1).slice(first, SLICE))
+                    distance = np.round(1 - matrix @ own.T, 6)
+                    if probed is not None:
+                        distance[~probed.meet(own)] = np.inf
+                    # all that are no further than the k-th, ties too; ids decide among them later
+                    last = np.partition(distance, k - 1, 1)[:, k - 1 : k] if k < distance.shape[1] else np.inf
+                    query, row = np.nonzero((distance <= last) & np.isfinite(distance))
+                    held.append(pa.table([pa.array(query), key.take(pa.array(row)), pa.array(distance[query, row])], ["query", "id", "distance"]))
+                    n += len(query)
+                    if n > 4 * k * len(ids) + 100_000:
+                        held = [_best(pa.concat_tables(held), k)]
+                        n = held[0].num_rows
+            if n:
+                best = _best(pa.concat_tables(held), k)
+                yield from pa.table([ids.take(best["query"].combine_chunks()), best["id"], best["distance"]], ["query_id", "id", "distance"]).to_batches()
+
+        found = vectors.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInArrow(run, schema)
         near = found if near is None else near.unionByName(found)
     if near is None:
-        return spark.createDataFrame([], "query_id long, id long, rank int, distance double")
+        near = spark.createDataFrame([], schema)
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "rank", "distance")
 
@@ -107,3 +121,33 @@ def lsh_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vecto
     across one plane.
     """
     return _nearest(vectors, queries, k, id_col, vector_col, query_id, query_vector, lambda matrix: Probes.of(matrix, bits, tables, seed))
+
+
+class Embedder(Protocol):
+    """Unit vectors of texts, a row each; one embedder is made for each task."""
+
+    def embed(self, texts: list[str]) -> np.ndarray: ...
+
+
+class LetterEmbedder:
+    """Offline stand-in, no model: how often each letter of a to z occurs in the lower-case text, as a unit vector (zeros for none)."""
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        counts = np.array([[t.count(chr(97 + k)) for k in range(26)] for t in map(str.lower, texts)], float).reshape(len(texts), 26)
+        return counts / np.maximum(np.sqrt((counts**2).sum(1, keepdims=True)), 1e-300)
+
+
+def embed(df: DataFrame, text_col: str, make: Callable[[], Embedder], out: str = "vector", batch: int = 256) -> DataFrame:
+    """df with the unit vector of a text, batch texts at a time; a null text counts as empty."""
+    kept = [c for c in df.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embedder = make()
+        for whole in batches:
+            for first in range(0, whole.num_rows, batch):
+                own = whole.slice(first, batch)
+                made = embedder.embed([t or "" for t in own.column("embedded").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(list(made), pa.list_(pa.float64()))], [*kept, out])
+
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.select(*kept, F.col(text_col).alias("embedded")).mapInArrow(run, schema)

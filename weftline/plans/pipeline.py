@@ -64,15 +64,32 @@ class KeywordComponent:
 
 @dataclass
 class VectorComponent:
-    """Exact cosine; the filter comes first."""
+    """Exact cosine; the filter comes first. Queries without a vector column are embedded."""
 
     chunks: DataFrame
     id_col: str = "chunk_id"
     vector_col: str = "vector"
+    make_embedder: Callable[[], vector.Embedder] = vector.LetterEmbedder
     name: str = "vector"
 
     def retrieve(self, request: Request) -> DataFrame:
-        return vector.top_k(filters.apply(self.chunks, where=request.payload), request.queries, request.top_k, self.id_col, self.vector_col, "query_id", "vector")
+        queries = request.queries if "vector" in request.queries.columns else vector.embed(request.queries, "query", self.make_embedder)
+        return vector.top_k(filters.apply(self.chunks, where=request.payload), queries, request.top_k, self.id_col, self.vector_col, "query_id", "vector")
+
+
+def build(config: RetrievalConfig, chunks: DataFrame, make_embedder: Callable[[], vector.Embedder] | None = None, scorer: Callable | None = None, index: bm25.Index | None = None) -> Pipeline:
+    """The pipeline that a configuration describes, over chunks; a vector component embeds them unless they have vectors."""
+    made: list[Component] = []
+    for name in config.components:
+        if name == "bm25":
+            made.append(KeywordComponent(chunks, index=index))
+        elif name == "vector":
+            own = chunks if "vector" in chunks.columns else vector.embed(chunks, "text", make_embedder or vector.LetterEmbedder)
+            made.append(VectorComponent(own))
+        else:
+            raise ValueError(f"no such component: {name}")
+    texts = chunks.select(F.col("chunk_id").alias("id"), "text")
+    return Pipeline(made, config.aggregation_strategy, config.component_weights, scorer if config.reranking else None, texts)
 
 
 @dataclass

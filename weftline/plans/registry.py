@@ -17,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "eval_metrics_by_k"
 
-K, KS, PREFIX = 10, [1, 3, 5, 10], 30
+K, KS = 10, [1, 3, 5, 10]
 
 
 def query(sql: str | None = None):
@@ -55,7 +55,6 @@ def ranked_sql(score: str, k: int) -> str:
 
 
 PASSAGES = "SELECT item_id AS query_id, text AS query FROM benchmark"
-PREFIXES = f"SELECT item_id AS query_id, left(text, {PREFIX}) AS query FROM benchmark"
 OVER_DOCS = "WITH" + bm25_sql("documents", "doc_id", PASSAGES)
 
 
@@ -63,10 +62,6 @@ def passages(read) -> DataFrame:
     return read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def prefixes(read) -> DataFrame:
-    return passages(read).withColumn("query", F.substring("query", 1, PREFIX))
-
-
 def keyword(read, k: int = K, queries: DataFrame | None = None, **more) -> DataFrame:
     return bm25.top_k(read("documents"), queries if queries is not None else passages(read), k, "doc_id", "text", "query_id", "query", **more)
 
@@ -245,10 +240,11 @@ def chunk_token_distribution(read):
     return chunking.distribution(counted(read), "token_count")
 
 
-@query(f"""WITH {CHUNKS}, {COUNTED}, binned AS (SELECT least(floor(token_count * 40 / 400.0), 39)::BIGINT AS bin, count(*) AS n FROM counted WHERE token_count BETWEEN 0 AND 400 GROUP BY 1)
+@query(f"""WITH {CHUNKS}, {COUNTED}, ends AS (SELECT min(token_count) AS low, greatest(max(token_count), min(token_count) + 1) AS high FROM counted),
+    binned AS (SELECT least(floor((token_count - low) * 40 / (high - low)::DOUBLE), 39)::BIGINT AS bin, count(*) AS n FROM counted, ends GROUP BY 1)
     SELECT i AS bin, coalesce(n, 0) AS n, (sum(coalesce(n, 0)) OVER (ORDER BY i))::BIGINT AS cumulative FROM range(40) AS r(i) LEFT JOIN binned ON bin = i""")
 def chunk_histogram(read):
-    return integer(chunking.histogram(counted(read), "token_count", 40, 0, 400), "bin")
+    return integer(chunking.histogram(counted(read), "token_count", 40), "bin")
 
 
 @query()
@@ -294,7 +290,7 @@ def label_overlap(read):
     return labels.map_to_chunks(targets(read), chunks(read)).select("query_id", "chunk_id", "overlap_chars", "overlap_score", "answer_chars")
 
 
-@query(f"""WITH {FIRST} SELECT lpad(row_number() OVER (ORDER BY needle_id * 1000000000 + id)::VARCHAR, 5, '0') AS query_id, needle_id AS item_id, id AS document_id, start, "end", md5(substr(d.text, start + 1, "end" - start)) AS span_digest FROM spans JOIN documents AS d ON d.doc_id = id""")
+@query(f"""WITH {FIRST} SELECT printf('%05d', row_number() OVER (ORDER BY needle_id * 1000000000 + id)) AS query_id, needle_id AS item_id, id AS document_id, start, "end", md5(substr(d.text, start + 1, "end" - start)) AS span_digest FROM spans JOIN documents AS d ON d.doc_id = id""")
 def golden_set(read):
     own = first_spans(read).join(read("documents").select(F.col("doc_id").alias("id"), "text"), "id").withColumn("order", F.col("needle_id") * 1_000_000_000 + F.col("id"))
     return curation.sequential_ids(own, "order").select("query_id", F.col("needle_id").alias("item_id"), F.col("id").alias("document_id"), "start", "end", F.md5(curation.extract(F.col("text"), F.col("start"), F.col("end"))).alias("span_digest"))
@@ -321,13 +317,13 @@ def per_query_sql(results: str) -> str:
 
 
 AVERAGES = "k, count(*) AS n_queries, round(avg(hit::INT), 6) AS hit_rate_at_k, round(avg(recall_at_k), 6) AS recall_at_k, round(avg(precision_at_k), 6) AS precision_at_k, round(avg(reciprocal_rank), 6) AS mrr_at_k, round(avg(average_precision_at_k), 6) AS map_at_k, round(avg(ndcg_at_k), 6) AS ndcg_at_k"
-CHUNK_RUN = f"WITH {OVERLAPS}, qrels AS (SELECT query_id, chunk_id AS id FROM met), {bm25_sql('chunks', 'chunk_id', PREFIXES)}{per_query_sql(ranked_sql('score', 10))}"
+CHUNK_RUN = f"WITH {OVERLAPS}, qrels AS (SELECT query_id, chunk_id AS id FROM met), {bm25_sql('chunks', 'chunk_id', PASSAGES)}{per_query_sql(ranked_sql('score', 10))}"
 
 
 def chunk_run(read) -> DataFrame:
     own = chunks(read)
     qrels = labels.map_to_chunks(targets(read), own).select("query_id", F.col("chunk_id").alias("id"))
-    found = bm25.top_k(own, prefixes(read), max(KS), "chunk_id", "text", "query_id", "query")
+    found = bm25.top_k(own, passages(read), max(KS), "chunk_id", "text", "query_id", "query")
     return integer(metrics.per_query(found, qrels, KS), "k", "first_relevant_rank")
 
 
@@ -341,14 +337,14 @@ def eval_metrics_by_k(read):
     return metrics.summary(chunk_run(read))
 
 
-DOC_RUN = f"WITH {FIRST}, qrels AS (SELECT needle_id AS query_id, id FROM spans), {bm25_sql('documents', 'doc_id', PREFIXES)}"
+DOC_RUN = f"WITH {FIRST}, qrels AS (SELECT needle_id AS query_id, id FROM spans), {bm25_sql('documents', 'doc_id', PASSAGES)}"
 
 
 @query(f"""{DOC_RUN}, {SHARED}{per_query_sql("SELECT * FROM a")}, one AS (SELECT {AVERAGES} FROM per GROUP BY k), long AS (UNPIVOT one ON hit_rate_at_k, recall_at_k, precision_at_k, mrr_at_k, map_at_k, ndcg_at_k INTO NAME metric VALUE value)
     SELECT 'bm25' AS label, k, metric, value FROM long""")
 def run_metrics_long(read):
     qrels = first_spans(read).select(F.col("needle_id").alias("query_id"), "id")
-    one = metrics.summary(integer(metrics.per_query(keyword(read, queries=prefixes(read)), qrels, KS), "k"))
+    one = metrics.summary(integer(metrics.per_query(keyword(read), qrels, KS), "k"))
     return metrics.long_form({"bm25": one})
 
 
@@ -356,7 +352,7 @@ def run_metrics_long(read):
     SELECT k, round(avg(ndcg_at_k) FILTER (query_id % 2 = 0), 6) AS bm25_ndcg, round(avg(ndcg_at_k) FILTER (query_id % 2 = 1), 6) AS shared_ndcg FROM per GROUP BY k""")
 def run_comparison(read):
     qrels = first_spans(read).select(F.col("needle_id").alias("query_id"), "id")
-    runs = {name: metrics.summary(integer(metrics.per_query(found, qrels, KS), "k")) for name, found in components(read, prefixes(read)).items()}
+    runs = {name: metrics.summary(integer(metrics.per_query(found, qrels, KS), "k")) for name, found in components(read).items()}
     long = metrics.long_form(runs).where("metric = 'ndcg_at_k'")
     return long.groupBy("k").agg(*(F.max(F.when(F.col("label") == r, F.col("value"))).alias(f"{r}_ndcg") for r in ("bm25", "shared")))
 
@@ -402,22 +398,6 @@ def page_title_regex(read):
     return read("pages").select("page_id", tx.normalize_whitespace(F.coalesce(F.nullif(raw, F.lit("")), F.lit("untitled"))).alias("title"))
 
 
-@query()
-def html_blocks(read):
-    got, _ = html.html_blocks(read("pages"), ["article"])
-    return got.select("page_id", "pos", "block_type", "text", "markdown", F.array_join("heading_path", " > ").alias("section"), "level")
-
-
-@query()
-def html_to_markdown(read):
-    return html.markdown(html.html_blocks(read("pages"), ["article"])[0])
-
-
-@query()
-def page_metadata(read):
-    return html.metadata(read("pages")).select("page_id", "title", F.array_join("breadcrumbs", " > ").alias("breadcrumbs"), urls.topic("topics").alias("topic"))
-
-
 # ---------------------------------------------------------------- filters, keys, prompts, summaries
 
 
@@ -450,7 +430,7 @@ def retrieved(read) -> DataFrame:
 
 @query(OVER_DOCS + f""", top AS ({ranked_sql("score", 3)}), blocks AS (SELECT query_id, string_agg('[' || rank || '] Title: Document ' || id || chr(10) || 'Section: ' || lang || chr(10) || 'Source: ' || source || chr(10) || 'Text: ' ||
         CASE WHEN length({FLAT.format("text")}) > 1600 THEN rtrim(left({FLAT.format("text")}, 1597)) || '...' ELSE {FLAT.format("text")} END, chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN documents ON doc_id = id GROUP BY 1)
-    SELECT b.item_id AS query_id, md5('{generation.INSTRUCTION}' || chr(10) || chr(10) || 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Retrieved context:' || chr(10) || coalesce(context, 'No chunks retrieved.')) AS prompt_digest
+    SELECT b.item_id AS query_id, md5('{generation.INSTRUCTION}' || chr(10) || chr(10) || 'Asked:' || chr(10) || text || chr(10) || chr(10) || 'Excerpts:' || chr(10) || coalesce(context, '{generation.NOTHING}')) AS prompt_digest
     FROM benchmark AS b LEFT JOIN blocks ON query_id = item_id""")
 def prompt_assembly(read):
     return generation.prompts(passages(read), retrieved(read)).select("query_id", F.md5("user_prompt").alias("prompt_digest"))
@@ -481,3 +461,6 @@ def judge_score_summary(read):
 @query("SELECT event_type, count(value) AS count, round(coalesce(sum(value), 0), 2) AS total, round(avg(value), 6) AS average, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY 1")
 def latency_summary(read):
     return generation.latency_summary(read("events"), "value", "event_type").withColumn("total", F.round("total", 2))
+
+
+from . import corpus_queries  # noqa: E402, F401  (registers its queries)

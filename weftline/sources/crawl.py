@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from .tables import new_only
+from .tables import new_only, settled
 
 
 def discover(sitemaps: DataFrame, root: str) -> DataFrame:
     """Distinct page URLs in order, of the sitemap root and all below it; sitemaps(url, xml) holds the documents.
 
-    Each round joins the frontier with the table; a sitemap that has been seen is not read again.
+    Each round joins the frontier with the table; a sitemap that has been seen is not read again, and one that is no XML
+    has no pages (malformed shows them).
     """
     spark = sitemaps.sparkSession
     read = sitemaps.select("url", urls.sitemap("xml").alias("found"))
@@ -25,12 +26,18 @@ def discover(sitemaps: DataFrame, root: str) -> DataFrame:
         got = read.join(frontier, "url").select("found.sitemaps", "found.pages").cache()
         here = got.select(F.explode("pages").alias("url"))
         pages = here if pages is None else pages.unionByName(here)
-        frontier = got.select(F.explode("sitemaps").alias("url")).distinct().join(seen, "url", "left_anti").checkpoint()
+        frontier = got.select(F.explode("sitemaps").alias("url")).distinct().join(seen, "url", "left_anti")
+        frontier = settled(frontier)
         if frontier.isEmpty():
             return pages.distinct().orderBy("url")
         seen = seen.unionByName(frontier)
 
 
+def malformed(sitemaps: DataFrame) -> DataFrame:
+    """url and error of the documents that are no XML."""
+    return sitemaps.select("url", urls.sitemap("xml")["error"].alias("error")).where("error IS NOT NULL")
+
+
 def to_fetch(found: DataFrame, existing: DataFrame, host: str, limit: int | None = None, overwrite: bool = False) -> DataFrame:
     """Article URLs, normalized: the first limit of all in order, then less those that are known."""
     own = found.where(urls.is_article_url("url", host)).select(urls.normalize_url("url").alias("source_url")).distinct().orderBy("source_url")

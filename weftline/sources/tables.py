@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +36,30 @@ def violations(df: DataFrame, required: list[str], blank_is_missing: bool = True
 
 
 def checked(df: DataFrame, kind: str) -> DataFrame:
-    """df, or an error that shows the first rows in violation."""
-    bad = violations(df, REQUIRED[kind], kind != "chunks").limit(5).collect()
+    """df, or an error that shows the first rows in violation; chunks must have blank-free ids and texts, and one row at least."""
+    blank = [c for c in ("chunk_id", "text") if kind == "chunks"]
+    own = df.withColumns({c: F.when(F.regexp_replace(F.col(c), r"(?U)\s", "") != "", F.col(c)) for c in blank}) if blank else df
+    bad = violations(own, REQUIRED[kind], kind != "chunks").limit(5).collect()
     if bad:
         raise ValueError(f"{kind}: required values are missing: {[r['missing'] for r in bad]}")
+    if kind == "chunks" and df.isEmpty():
+        raise ValueError("chunks: there are none")
     return df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written once to spark.checkpoint.dir: what is read twice is the same both times, whatever executors are lost."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="weftline-")
+        spark.sparkContext.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def index_payload(chunks: DataFrame) -> DataFrame:
     """Flat columns of a chunk for an index, with defaults."""
     text = lambda c, other="": F.coalesce(F.col(c), F.lit(other)).alias(c)
