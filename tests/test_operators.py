@@ -45,9 +45,9 @@ def test_sitemaps(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     index = f"<?xml version='1.0'?><sitemapindex {ns}><sitemap><loc> https://h/a.xml </loc></sitemap></sitemapindex>"
     pages = f"<urlset {ns}><url><loc>https://h/1</loc></url><url><loc>https://h/2</loc></url></urlset>"
-    assert value(spark, urls.sitemap("x"), x=index).asDict() == {"sitemaps": ["https://h/a.xml"], "pages": []}
-    assert value(spark, urls.sitemap("x"), x=pages).asDict() == {"sitemaps": [], "pages": ["https://h/1", "https://h/2"]}
-    assert value(spark, urls.sitemap("x"), x="<rss/>").asDict() == {"sitemaps": [], "pages": []}
+    assert value(spark, urls.sitemap("x"), x=index).asDict() == {"sitemaps": ["https://h/a.xml"], "pages": [], "error": None}
+    assert value(spark, urls.sitemap("x"), x=pages).asDict() == {"sitemaps": [], "pages": ["https://h/1", "https://h/2"], "error": None}
+    assert value(spark, urls.sitemap("x"), x="<rss/>").asDict() == {"sitemaps": [], "pages": [], "error": None}
 
 
 # ------------------------------------------------------------------ text
@@ -336,7 +336,7 @@ def test_generation_stages_and_summary(spark):
     queries = spark.createDataFrame([(1, "fine", None), (2, "broken", None), (3, "odd", None), (4, "lost", "no index")], "query_id int, query string, retrieval_error string")
     found = spark.createDataFrame([(1, 1, "T", "S", "U", "some  text"), (1, 2, "T2", "S", "U", "y" * 2000)], "query_id int, rank int, title string, section string, source_url string, text string")
     prompt = {r["query_id"]: r["user_prompt"] for r in generation.prompts(queries, found).collect()}
-    assert "[1] Title: T\nSection: S\nSource: U\nText: some text\n\n[2] Title: T2" in prompt[1] and prompt[1].endswith("y" * 1597 + "...") and prompt[2].endswith("Retrieved context:\nNo chunks retrieved.")
+    assert "[1] Title: T\nSection: S\nSource: U\nText: some text\n\n[2] Title: T2" in prompt[1] and prompt[1].endswith("y" * 1597 + "...") and prompt[2].endswith("Excerpts:\nNo chunks retrieved.")
     assert [r["rank"] for r in generation.truncated_chunks(found).collect()] == [2]
     rows = generation.evaluate(queries, found, Echo, Judge)
     got = {r["query_id"]: r for r in rows.collect()}

@@ -30,7 +30,7 @@ def test_set(rows: DataFrame, needed: bool = True) -> tuple[DataFrame, DataFrame
     With needed a row must have a relevant chunk; without (for reviews) it need not. Ids and queries must not be blank.
     """
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    ids = F.array_distinct(F.filter(F.transform(F.coalesce("chunks", F.array().cast("array<struct<chunk_id:string,overlap_score:double,overlap_chars:bigint>>")), lambda c: c["chunk_id"]), lambda c: F.trim(c) != ""))
+    ids = F.array_distinct(F.filter(F.coalesce(F.transform("chunks", lambda c: c["chunk_id"]), F.array().cast("array<string>")), lambda c: F.trim(c) != ""))
     error = F.when(blank("query_id"), "no query_id").when(blank("query"), "no query").when(F.lit(needed) & (F.size(ids) == 0), "no relevant chunk")
     own = rows.withColumns({"ids": ids, "error": error})
     sound = own.where("error IS NULL")
@@ -139,7 +139,12 @@ def _put(spark: SparkSession, path: str, content: dict) -> None:
 
 
 def _get(spark: SparkSession, path: str) -> dict:
-    return json.loads("\n".join(r["value"] for r in spark.read.text(path).collect()))  # a file of a few lines
+    fs, at = _fs(spark, path)
+    src = fs.open(at)
+    try:
+        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(src)))
+    finally:
+        src.close()
 
 
 @dataclass
