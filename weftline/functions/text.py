@@ -74,7 +74,8 @@ def plain_heading(x: Column | str) -> Column:
 
 
 def same_heading(a: Column | str, b: Column | str) -> Column:
-    bare = lambda x: F.btrim(F.regexp_replace(F.lower(col(x)), r"(?U)\W+", " "))
+    # lower case and, as caseless comparison has it, ss for ß
+    bare = lambda x: F.btrim(F.regexp_replace(F.replace(F.lower(col(x)), F.lit("ß"), F.lit("ss")), r"(?U)\W+", " "))
     return bare(a) == bare(b)
 
 
