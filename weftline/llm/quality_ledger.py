@@ -142,10 +142,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 ABLATIONS_SQL = (
     SQL.rsplit("SELECT doc_id", 1)[0]
-    + """, r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbol_heavy', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32)),
-p(policy, bits) AS (VALUES ('base-1', 3), ('web-1', 15), ('web-2', 63))
+    + """, rules(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbol_heavy', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32)),
+policies(policy, bits) AS (VALUES ('base-1', 3), ('web-1', 15), ('web-2', 63))
 SELECT policy, rule, (SELECT count(*) FROM f WHERE failed_bits & bit <> 0) AS n_failed, (SELECT count(*) FROM f WHERE failed_bits & bits = bit) AS n_only,
        (SELECT count(*) FROM f WHERE failed_bits & bits = 0) AS n_kept, (SELECT count(*) FROM f WHERE failed_bits & bits IN (0, bit)) AS n_kept_without
-FROM p JOIN r ON bits & bit <> 0
+FROM policies JOIN rules ON bits & bit <> 0
 """
 )
