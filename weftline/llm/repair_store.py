@@ -48,7 +48,8 @@ def pair_keys(seq: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """At each place its symbol and the next as one number; none at a document's last symbol, and at every other place of a run of one symbol."""
     key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
     key[ends[:-1]] = _NONE
-    twin = np.flatnonzero((seq[:-1] == seq[1:]) & (key != _NONE))
+    twin = np.flatnonzero(seq[:-1] == seq[1:])
+    twin = twin[key[twin] != _NONE]
     if len(twin):
         place = np.arange(len(twin))
         begin = np.maximum.accumulate(np.where(np.diff(twin, prepend=-2) > 1, place, 0))
@@ -190,10 +191,13 @@ def encoded(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = S.library_encoder(path, False), TaskContext.get().partitionId() << 40
-        for block in S.blocks(batches, "text"):
+        for block in S.blocks(batches, "text", 2 * S.BLOCK_BYTES):
             ids, n = encode(block.column("text"))
-            data = np.insert(ids, np.cumsum(n), END_ID).astype("<u2").tobytes()
-            edges = np.concatenate([[0], np.cumsum(2 * (n + 1))])
+            ends = np.cumsum(n + 1)
+            whole, inside = np.full(int(ends[-1]), END_ID, "<u2"), np.ones(int(ends[-1]), bool)
+            inside[ends - 1] = False
+            whole[inside] = ids
+            data, edges = whole.tobytes(), np.concatenate([[0], 2 * ends])
             binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.arange(row, row + len(n))), binary.cast(pa.binary()), pa.array(n + 1)], ["id", "row", "ids", "n"])
             row += len(n)
@@ -266,7 +270,7 @@ def read(spark: SparkSession, shards: DataFrame, id_name: str = "doc_id") -> Dat
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.keys, pa.int64()), pa.array(at + starts), pa.array(shard.counts), pa.array(crc, pa.int64())], [id_name, "start", "n_tokens", "ids_crc32"])
 
-    spread = max(1, min(10_000, 2 * len(totals)))
+    spread = max(1, min(10_000, len(totals)))  # about a shard a task
     return placed.select("file", "at").repartition(spread).mapInArrow(run, f"`{id_name}` long, start long, n_tokens long, ids_crc32 long")
 
 

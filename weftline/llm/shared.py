@@ -143,30 +143,22 @@ class Memo:
     def __init__(self):
         self.new, self.old, self.held = {}, {}, 0
 
-    def look(self, pieces: list[str]) -> list[bytes | None]:
-        out = list(map(self.new.get, pieces))
-        if self.old:
-            for k, v in enumerate(out):
-                if v is None and (v := self.old.get(pieces[k])) is not None:
-                    out[k] = v
-                    self.keep(pieces[k], v)
-        return out
-
-    def keep(self, piece: str, ids: bytes) -> None:
-        if len(piece) <= MEMO_CHARACTERS:
-            if self.held > MEMO_BYTES // 2:
-                self.new, self.old, self.held = {}, self.new, 0
-            self.held += 220 + len(piece) + len(ids)  # with the room of a dictionary's entry
-            self.new[piece] = ids
-
     def all(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         """The ids of distinct pieces; those not kept are encoded together."""
-        out = self.look(pieces)
-        if missing := [k for k, v in enumerate(out) if v is None]:
-            new = [pieces[k] for k in missing]
-            for k, p, v in zip(missing, new, encode(new), strict=True):
-                out[k] = v
-                self.keep(p, v)
+        new = self.new
+        out = list(map(new.get, pieces))
+        missing = [k for k, v in enumerate(out) if v is None]
+        again = list(map(self.old.get, [pieces[k] for k in missing]))
+        coded, held = iter(encode([pieces[k] for k, v in zip(missing, again, strict=True) if v is None])), self.held
+        for k, v in zip(missing, again, strict=True):
+            piece = pieces[k]
+            out[k] = v = next(coded) if v is None else v
+            if len(piece) <= MEMO_CHARACTERS:
+                new[piece] = v
+                held += 220 + len(piece) + len(v)  # with the room of a dictionary's entry
+        self.held = held
+        if held > MEMO_BYTES // 2:
+            self.new, self.old, self.held = {}, new, 0
         return out
 
 
@@ -216,8 +208,6 @@ class PieceEncoder:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if not self.lead:
-            return self._gather(*self._units(pc.replace_substring(texts, "\n", " ")))
         odd = pc.match_substring_regex(texts, r"  | [\pZ\s\x0b\x1c-\x1f\x{85}]|[\pZ\s\x0b\x1c-\x1f\x{85}] | $|^ ")
         odd = odd.to_numpy(zero_copy_only=False)
         if not odd.any():
@@ -297,43 +287,44 @@ def rank_encoder(path: str) -> PieceEncoder:
     return PieceEncoder.of(lambda pieces: list(map(one, pieces)))
 
 
-class WordEncoder:
-    """A word-end vocabulary by the tokenizers library, on the words inside of pieces.
+class WordEncoder(PieceEncoder):
+    """A word-end vocabulary by the tokenizers library, on distinct words.
 
-    A piece that ends in punctuation is a word and that punctuation, since no pre-token holds both. A word of small Latin
-    letters is a pre-token as it is, so the library's model alone encodes its bytes (in the letters that stand for them);
-    others go through the library's normalizer and pre-tokenizer.
+    White space only separates words here and ASCII capitals count as small letters, so a space goes between a word and the
+    punctuation that ends it, which no pre-token holds together. A word of small Latin letters is a pre-token as it is, so
+    the library's model alone encodes its bytes (in the letters that stand for them); others go through the library's
+    normalizer and pre-tokenizer, and so do whole texts with special tokens, in any spelling.
     """
 
-    CLOSING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-    #: Last characters that are a letter or number before and after normalization.
-    CLOSED = "[A-Za-z0-9ßà-öø-ÿ]$"
+    #: A letter or number before and after normalization, and punctuation up to a space or the end.
+    CLOSING = r"([a-z0-9ßà-öø-ÿ])([!-/:-@\[-`{-~]+)( |$)"
     #: Words that the normalizer leaves as they are and that are one pre-token.
     PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
     def __init__(self, path: str):
-        self.own = _library(path)
+        self.own, self.memo = _library(path), Memo()
+        super().__init__(lambda words: joined(self.memo.all(words, self.encode)), lead=False)
         special = [re.escape(x.content) for x in self.own.get_added_tokens_decoder().values()]
         self.special = f"(?i){'|'.join(special)}" if special else "$^"
         self.letters = {code: "".join(shown_bytes()[b] for b in chr(code).encode()) for code in range(0xDF, 0x100)}
-        self.memo = Memo()
-
-    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raw = pa.array(pieces, pa.string())
-        bare = pc.utf8_rtrim(raw, self.CLOSING)
-        # special tokens are told from their other spellings before a word is made lower case
-        special = pc.match_substring_regex(raw, self.special)
-        word = pc.if_else(pc.and_(pc.match_substring_regex(bare, self.CLOSED), pc.invert(special)), bare, raw)
-        coded = pc.if_else(pc.and_(pc.string_is_ascii(word), pc.invert(special)), pc.ascii_lower(word), word).dictionary_encode()
-        words, tails = coded.dictionary.to_pylist(), {"": 0}
-        cut = np.flatnonzero(pc.not_equal(pc.binary_length(word), pc.binary_length(raw)).to_numpy(zero_copy_only=False))
-        units = np.full((len(pieces), 2), len(words), np.int64)  # a word, and the punctuation after it
-        units[:, 0] = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = pc.utf8_length(word).to_numpy()[cut]
-        units[cut, 1] += np.fromiter((tails.setdefault(pieces[k][n:], len(tails)) for k, n in zip(cut.tolist(), lengths.tolist(), strict=True)), np.int64, len(cut))
-        flat, sizes = joined(self.memo.all(words, self.encode) + self.encode(list(tails)))
-        each = sizes[units]
-        return ragged(flat, excl(sizes)[units.ravel()], each.ravel()), each.sum(1)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring_regex(texts, self.special)
+        if not pc.any(special).as_py():
+            return self._words(texts)
+        odd = special.to_numpy(zero_copy_only=False)
+        ids, n = self._words(texts.filter(pc.invert(special)))
+        whole = [e.ids for e in self.own.encode_batch_fast(texts.filter(special).to_pylist(), add_special_tokens=False)]
+        ids, n = np.concatenate([ids, *(np.array(x, np.uint32) for x in whole)]), np.concatenate([n, [len(x) for x in whole]]).astype(np.int64)
+        back = np.argsort(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]))
+        return ragged(ids, excl(n)[back], n[back]), n[back]
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        small = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        return self._gather(*self._units(pc.replace_substring_regex(small, self.CLOSING, r"\1 \2\3")))
 
     def encode(self, words: list[str]) -> list[bytes]:
         tokenize, plain, table = self.own.model.tokenize, self.PLAIN, self.letters
@@ -360,7 +351,7 @@ def vocabulary_size(path: str) -> int:
 def library_encoder(path: str, lead: bool) -> PieceEncoder:
     """The tokenizers library on distinct pieces, with a leading space (byte-level) or on words (with word ends)."""
     if not lead:
-        return PieceEncoder(WordEncoder(path), lead=False)
+        return WordEncoder(path)
     own = _library(path)
     return PieceEncoder.of(lambda pieces: [pack(e.ids) for e in own.encode_batch_fast(pieces, add_special_tokens=False)])
 
