@@ -108,14 +108,20 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.nd
 
 
 def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols' ids one after another, where each begins, and how many they are."""
-    own: list[np.ndarray] = []
-    one = np.arange(terminals, dtype=np.uint16)
-    of = lambda s: own[s - terminals] if s >= terminals else one[s : s + 1]
+    """All symbols' ids one after another, where each begins, and how many they are; rules of equal depth are expanded at once."""
+    size, depth = [1] * terminals, [0] * terminals
     for a, b in rules.tolist():
-        own.append(np.concatenate([of(a), of(b)]))
-    size = np.concatenate([np.ones(terminals, np.int64), np.fromiter(map(len, own), np.int64, len(own))])
-    return np.concatenate([one, *own]), S.excl(size), size
+        size.append(size[a] + size[b])
+        depth.append(1 + max(depth[a], depth[b]))
+    sizes, depths = np.array(size, np.int64), np.array(depth, np.int64)
+    start, pairs = S.excl(sizes), rules.astype(np.int64)
+    flat = np.empty(int(sizes.sum()), np.uint16)
+    flat[:terminals] = np.arange(terminals)
+    for level in range(1, int(depths.max(initial=0)) + 1):
+        own = np.flatnonzero(depths == level)
+        parts = pairs[own - terminals].ravel()
+        flat[S.runs(start[own], sizes[own])] = S.ragged(flat, start[parts], sizes[parts])
+    return flat, start, sizes
 
 
 def write_shard(out, keys: list, ids: np.ndarray, counts: np.ndarray, terminals: int) -> None:

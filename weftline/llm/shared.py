@@ -119,13 +119,15 @@ def apart(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[i] to before starts[i] + counts[i] one after another."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The runs flat[starts[i] : starts[i] + counts[i]] one after another."""
-    total = int(counts.sum())
-    if not total:
-        return flat[:0]
-    ends = np.cumsum(counts)
-    return flat[np.repeat(starts - (ends - counts), counts) + np.arange(total)]
+    return flat[runs(starts, counts)] if counts.any() else flat[:0]
 
 
 def excl(counts: np.ndarray) -> np.ndarray:
