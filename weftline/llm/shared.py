@@ -192,7 +192,7 @@ class PieceEncoder:
         offsets = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        strings = coded.dictionary.to_pylist()
+        strings = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # no scalar a string
         counts = np.diff(offsets)
         if not self.lead:
             return counts, index, strings
