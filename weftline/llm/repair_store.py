@@ -69,6 +69,14 @@ def frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return pair[order], n[order]
 
 
+def clear(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which places stay: of overlapping ones the more frequent pair's; the most frequent pair of all keeps every place."""
+    near, stay = np.diff(at) == 1, np.ones(len(at), bool)
+    stay[1:] &= ~(near & (rank[:-1] <= rank[1:]))
+    stay[:-1] &= ~(near & (rank[1:] < rank[:-1]))
+    return stay
+
+
 def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, the documents' numbers of symbols, and the rules as pairs; counts are the documents' numbers of ids, 1 at least."""
     seq, ends = ids.astype(np.uint16), np.cumsum(counts) - 1
@@ -76,7 +84,9 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.nd
     slot = np.full(1 << _BITS, -1, np.int16)
     while len(seq) > 1 and made < SYMBOLS:
         key = pair_keys(seq, ends)
-        pair = frequent(key, LEAST)[0][: min(PASS_RULES, SYMBOLS - made)]
+        # near the end more pairs than there are symbols left, as some fail: the most frequent of the rest are taken
+        room = SYMBOLS - made
+        pair = frequent(key, LEAST)[0][: min(PASS_RULES, 2 * room)]
         if not len(pair):
             break
         # pairs in one slot: the most frequent goes now, others in a later pass, by another multiplier
@@ -89,15 +99,12 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.nd
         rank = rank[at]
         same = pair[rank] == key[at]
         at, rank = at[same], rank[same]
-        # of overlapping places the more frequent pair's stays; the most frequent pair of all keeps every place
-        near = np.diff(at) == 1
-        lost = np.zeros(len(at), bool)
-        lost[1:] |= near & (rank[:-1] <= rank[1:])
-        lost[:-1] |= near & (rank[1:] < rank[:-1])
-        at, rank = at[~lost], rank[~lost]
-        good = np.bincount(rank, minlength=len(pair)) >= LEAST
+        good = np.bincount(rank[clear(at, rank)], minlength=len(pair)) >= LEAST
+        good &= np.cumsum(good) <= room
         taken = good[rank]
         at, rank = at[taken], rank[taken]
+        stay = clear(at, rank)  # places beside those of pairs not taken are free again
+        at, rank = at[stay], rank[stay]
         seq[at] = (made + np.cumsum(good) - 1)[rank]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
