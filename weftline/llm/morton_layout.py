@@ -250,15 +250,9 @@ def exact_box(box: dict[str, tuple[int, int]]) -> Column:
     return out
 
 
-def crc_sql(text: str) -> str:
-    """DuckDB SQL of the unsigned crc32 of a text of ASCII characters."""
-    step = "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
-    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), {step}))"
-
-
 #: Ranks by windows; every occupied cell's query compared with every file and every cell, one by one.
 SQL = f"""
-WITH v AS (SELECT doc_id, encode(source) AS source, encode(lang) AS lang, coalesce(octet_length(encode(text)), -1) AS length, {crc_sql("doc_id::VARCHAR")} % 365 AS date FROM documents),
+WITH v AS (SELECT doc_id, encode(source) AS source, encode(lang) AS lang, coalesce(octet_length(encode(text)), -1) AS length, {S.crc_sql("doc_id::VARCHAR")} % 365 AS date FROM documents),
 r AS (SELECT doc_id, 16 * (rank() OVER (ORDER BY source NULLS FIRST) - 1) // count(*) OVER () AS s, 16 * (rank() OVER (ORDER BY lang NULLS FIRST) - 1) // count(*) OVER () AS l,
              16 * (rank() OVER (ORDER BY length) - 1) // count(*) OVER () AS n, 16 * (rank() OVER (ORDER BY date NULLS FIRST) - 1) // count(*) OVER () AS d FROM v),
 c AS (SELECT *, {" + ".join(f"((({x} >> {b}) & 1) << {4 * b + 3 - k})" for k, x in enumerate("nsdl") for b in range(4))} AS z FROM r),

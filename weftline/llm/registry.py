@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, jaccard_join, lang_ecoc, lp_packing, media_archive, morton_layout, quality_ledger, repair_store, secret_markov, source_mix, token_rollup, toxicity
+from . import bpe_codec, jaccard_join, lang_ecoc, lp_packing, media_archive, morton_layout, prefix_trie, quality_ledger, repair_store, secret_markov, source_mix, token_rollup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_ledger": quality_ledger.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lp_packing": lp_packing.op8,
     "op9_token_rollup": token_rollup.op9,
     "op10_jaccard_join": jaccard_join.op10,
+    "op11_prefix_trie": prefix_trie.op11,
     "op12_morton_layout": morton_layout.op12,
     "op13_source_mix": source_mix.op13,
     "quality_ablations": quality_ledger.quality_ablations,
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_ledger": quality_ledger.SQL,
     "op10_jaccard_join": jaccard_join.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op12_morton_layout": morton_layout.SQL,
     "op13_source_mix": source_mix.SQL,
     "quality_ablations": quality_ledger.ABLATIONS_SQL,
