@@ -7,7 +7,8 @@ samples; what reaches the plan is one table of log ratios of a fixed size. Colum
 
 Offsets are in code points, ends exclusive. Defined results: a null text counts as empty and has no span; a run that
 overlaps a pattern's span is not scored; repeated rows each give a row; `scan` and `masked` keep every column, whatever its
-name, but replace `spans` if there is one; a very long text is scanned whole; an empty table gives an empty result.
+name, but replace `spans` if there is one; a very long text is scanned whole, in time nearly linear in its length and number of
+spans; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PATTERNS: dict[str, tuple[str, str, int]] = {
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Samples of each label that the models are trained on, added to every pair count, and the ratio (nats) that makes a secret.
 SAMPLES, SMOOTHING, THRESHOLD = 4000, 0.5, 12.0
+#: Numbers in a block of a running fold, and code points in a piece of a text that is masked: what bounds a step's cost in long texts.
+SCAN, CUT = 128, 256
 #: Fixed parts of ordinary identifiers.
 PARTS = (
     "account action address array async average backup balance batch billing block boolean branch buffer builder button cache "
@@ -112,33 +115,43 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def scanned(values: Column, op) -> Column:
+    """For every number of an array what op (of an associative kind, with 0 for none) makes of those before it.
+
+    Blocks are folded first, so that a number costs a fold over its block and its block a fold over the blocks.
+    """
+    fold = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: op(a, x))
+    block = lambda i: F.floor(i / SCAN).cast("int")
+    before = lambda sums: F.transform(sums, lambda x, c: fold(F.slice(sums, F.lit(1), c)))
+    inside = lambda v, blocks: F.transform(v, lambda x, i: op(F.get(blocks, block(i)), fold(F.slice(v, block(i) * SCAN + 1, i - block(i) * SCAN))))
+    folded = lambda v: F.transform(F.sequence(F.lit(0), block(F.greatest(F.size(v) - 1, F.lit(0)))), lambda c: fold(F.slice(v, c * SCAN + 1, F.lit(SCAN))))
+    return let(values, lambda v: let(folded(v), lambda sums: let(before(sums), lambda blocks: inside(v, blocks))))
+
+
 def ratio(token: Column, table: Column) -> Column:
     """Log-likelihood ratio of a run of key characters."""
-    place = lambda i: F.call_function("instr", F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda s, i: s + F.get(table, (place(i) * len(ALPHABET) + place(i + 1)).cast("int")))
+    places = F.transform(F.split(token, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
+    step = lambda a, p: F.struct(p.alias("at"), F.when(a["at"] >= 0, a["sum"] + F.get(table, (a["at"] * len(ALPHABET) + p).cast("int"))).otherwise(a["sum"]).alias("sum"))
+    return F.aggregate(places, F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("sum")), step, lambda a: a["sum"])
 
 
 def _found(text: Column, kind: str) -> Column:
-    """All matches from the left with their values: the end, and the match's and the value's length, in code points.
+    """All matches from the left with their values: start and end in code points.
 
     Each match of the scan starts where the one before has ended and takes the shortest stretch before the next match.
     """
     pattern, may, least = PATTERNS[kind]
     scan = F.lit(rf"\G(?s:.*?)({pattern})")
     whole, match, value = (F.regexp_extract_all(text, scan, F.lit(k)) for k in (0, 1, 2))
-    sized = F.zip_with(
-        F.transform(F.arrays_zip(whole.alias("w"), match.alias("m")), lambda x: F.struct(F.length(x["w"]).alias("w"), F.length(x["m"]).alias("m"))),
-        value,
-        lambda x, v: F.struct(x["w"].alias("w"), x["m"].alias("m"), v.alias("value")),
-    )
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    summed = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda a, x: F.struct((a["at"] + x["w"]).alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(a["spans"], F.struct((a["at"] + x["w"] - x["m"]).alias("start"), (a["at"] + x["w"]).alias("end"), x["value"].alias("value")))).otherwise(a["spans"]).alias("spans")),
-        lambda a: a["spans"],
-    )
-    return F.when(F.regexp_like(text, F.lit(may)), summed).otherwise(empty)
+    sized = F.transform(F.arrays_zip(whole.alias("w"), match.alias("m"), value.alias("v")), lambda x: F.struct(F.length(x["w"]).alias("w"), F.length(x["m"]).alias("m"), x["v"].alias("v")))
+    at = lambda x, before: F.struct((before + x["w"] - x["m"]).alias("start"), (before + x["w"]).alias("end"), x["v"].alias("value"))
+    spans = let(sized, lambda z: let(scanned(F.transform(z, lambda x: x["w"]), lambda a, x: a + x), lambda before: F.filter(F.transform(z, lambda x, i: at(x, F.get(before, i))), lambda x: F.length(x["value"]) >= least)))
+    return F.when(F.regexp_like(text, F.lit(may)), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def scan(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
@@ -146,18 +159,16 @@ def scan(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
     names = S.others(docs, "spans")
     kept = [S.quoted(c) for c in names]
     body = F.coalesce(S.quoted(text), F.lit(""))
-    *of, based = S.apart([*names, "spans"], *KINDS, "based")
+    *of, every = S.apart([*names, "spans"], *KINDS, "every")
     found = docs.select(*kept, *(_found(body, kind).alias(name) for kind, name in zip(KINDS, of, strict=True)))
-    of_kind = lambda k: F.transform(of[k], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind")))
     ratios = F.lit(table) if table else F.array().cast("array<double>")
-    scored = F.filter(
-        of[3],
-        lambda x: ~F.exists(based, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (ratio(x["value"], ratios) >= THRESHOLD),
-    )
-    more = F.transform(scored, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(3).alias("kind")))
-    own = found.select(*kept, F.flatten(F.array(*map(of_kind, range(3)))).alias(based), of[3])
-    added = F.when(F.size(of[3]) > 0, F.concat(based, more)).otherwise(F.col(based))
-    return own.select(*kept, F.sort_array(F.transform(added, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))).alias("spans"))
+    of_kind = lambda k: F.transform(of[k], lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), (x["value"] if k == 3 else F.lit("")).alias("value")))
+    own = found.select(*kept, F.sort_array(F.flatten(F.array(*map(of_kind, range(4))))).alias(every))
+    # runs don't overlap one another, so a span that begins within a run comes next after it
+    free = lambda all_, ends, x, i: (F.get(ends, i) <= x["start"]) & (F.coalesce(F.get(all_, i + 1)["start"], x["end"]) >= x["end"])
+    kept_of = lambda all_: let(scanned(F.transform(all_, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), F.greatest), lambda ends: F.filter(all_, lambda x, i: (x["kind"] < 3) | free(all_, ends, x, i) & (ratio(x["value"], ratios) >= THRESHOLD)))
+    spans = F.when(F.size(every) > 0, let(F.col(every), kept_of)).otherwise(F.col(every))
+    return own.select(*kept, F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -170,12 +181,13 @@ def masked(docs: DataFrame, table: list[float], text: str = "text", mask: str =
     """docs with each span of the text replaced by mask, overlapping spans by one; other columns as they are."""
     found = scan(docs, table, text)
     body = S.quoted(text)
-    out = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(body, a["at"] + 1, x["start"] - a["at"]), F.lit(mask)).alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))),
-    )
+    part = lambda cuts, a, b, k: F.substring(F.get(cuts, k), F.greatest(a - k * CUT, F.lit(0)) + 1, F.least(b, k * CUT + CUT) - F.greatest(a, k * CUT))
+    piece = lambda cuts, a, b: F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / CUT).cast("int"), F.floor((b - 1) / CUT).cast("int")), lambda k: part(cuts, a, b, k)), "")).otherwise("")
+    # a span that begins before an earlier one has ended belongs to that one's mask
+    between = lambda ends: F.filter(F.transform("spans", lambda x, i: F.when(x["start"] >= F.get(ends, i), F.struct(F.get(ends, i).alias("a"), x["start"].alias("b")))), lambda x: x.isNotNull())
+    last = F.struct(F.array_max(F.transform("spans", lambda x: x["end"])).alias("a"), F.length(body).alias("b"))
+    gaps = F.concat(let(scanned(F.transform("spans", lambda x: x["end"]), F.greatest), between), F.array(last))
+    out = let(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), lambda cuts: F.array_join(F.transform(gaps, lambda x: piece(cuts, x["a"], x["b"])), mask))
     return found.withColumn(text, F.when(F.size("spans") > 0, out).otherwise(body)).drop("spans")
 
 

@@ -6,7 +6,10 @@ tokenizer version. It is written to a folder of its own first; what commits it i
 that is moved into place only if no such file is there, and that names the folder and a digest of its rows. So of two
 writers of a batch one wins whole, a batch that is sent again counts once, one that is sent again with other rows is
 refused, and what a lost driver or executor has left behind is never read. Totals are the sum of the committed batches;
-compact() replaces those by one snapshot, so that totals read one table and the batches since.
+compact() replaces those by one snapshot, so that totals read one table and the batches since. The snapshot's digests are a
+table too. A reader looks at the batches first and at the newest snapshot after them: a batch that a compaction has taken
+away meanwhile is then in that snapshot, and one that is in both counts once. All of this needs a file system whose rename
+fails where its target exists, in one step; object stores without such a rename would need a lock of their own.
 
 Defined results: null source or language is a group of its own; a null text has no tokens; repeated rows count each; a
 very long text is counted whole; columns other than those named are ignored; groups whose documents and tokens have both
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 GROUP = ["source", "lang", "tokenizer"]
+DIGESTS = "batch string, digest string"
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -57,11 +61,14 @@ class Rollup:
         return self._at("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _read(self, name: str) -> dict | None:
-        """The JSON of a small file, or nothing."""
+        """The JSON of a small file, or nothing if it is not there or goes meanwhile."""
         fs, at = self._fs(), self._at(name)
-        if not fs.exists(at):
+        try:
+            src = fs.open(at)
+        except Py4JJavaError as error:
+            if fs.exists(at):
+                raise error
             return None
-        src = fs.open(at)
         try:
             return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(src)))
         finally:
@@ -89,13 +96,25 @@ class Rollup:
         return sorted(x.getPath().getName().removesuffix(".json") for x in fs.listStatus(at)) if fs.exists(at) else []
 
     def _snapshot(self) -> tuple[int, dict]:
-        """The number and content of the newest snapshot: its folder, and the digests of the batches in it."""
+        """The number and content of the newest snapshot: the folders of its totals and of its batches' digests."""
         found = self._names("snapshots")
-        return (int(found[-1]), self._read(f"snapshots/{found[-1]}.json")) if found else (0, {"folder": None, "batches": {}})
+        return (int(found[-1]), self._read(f"snapshots/{found[-1]}.json")) if found else (0, {"folder": None, "digests": None})
+
+    def _digests(self, snapshot: dict) -> DataFrame:
+        """batch and digest of the batches in a snapshot."""
+        at = snapshot["digests"]
+        return self.spark.read.schema(DIGESTS).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], DIGESTS)
+
+    def _digest(self, batch: str) -> str | None:
+        """The digest of a batch in the newest snapshot."""
+        snapshot = self._snapshot()[1]
+        found = self._digests(snapshot).where(F.col("batch") == batch).first() if snapshot["digests"] else None
+        return found and found["digest"]
 
     def batches(self) -> list[str]:
-        """Ids of the committed batches."""
-        return sorted({*self._snapshot()[1]["batches"], *self._names("batches")})
+        """Ids of the committed batches, for inspection: all of them come to the driver."""
+        since = self._names("batches")
+        return sorted({*(r["batch"] for r in self._digests(self._snapshot()[1]).collect()), *since})
 
     def _write(self, summed: DataFrame) -> str:
         folder = f"attempts/{uuid.uuid4().hex}"
@@ -107,24 +126,34 @@ class Rollup:
         folder = self._write(deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum(F.coalesce("n_tokens", F.lit(0))).alias("n_tokens")))
         rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{folder}")
         digest = str(rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()[0])
-        if batch not in self._snapshot()[1]["batches"] and self._claim(f"batches/{batch}.json", {"folder": folder, "digest": digest}):
-            return True
+        before = self._digest(batch)
+        if before is None and self._claim(f"batches/{batch}.json", {"folder": folder, "digest": digest}):
+            before = self._digest(batch)
+            if before is None:
+                return True
+            self._fs().delete(self._at(f"batches/{batch}.json"), False)  # compacted between the look and the claim
         self._fs().delete(self._at(folder), True)
-        before = (self._read(f"batches/{batch}.json") or {}).get("digest") or self._snapshot()[1]["batches"].get(batch)
+        before = before or (self._read(f"batches/{batch}.json") or {}).get("digest") or self._digest(batch)
         if before != digest:
             raise ValueError(f"batch {batch!r} has been committed with other rows")
         return False
 
-    def _committed(self) -> tuple[int, dict[str, str], DataFrame | None]:
-        """The newest snapshot's number, the digests of all committed batches, and their rows."""
-        number, snapshot = self._snapshot()
-        since = {name: self._read(f"batches/{name}.json") for name in self._names("batches") if name not in snapshot["batches"]}
-        since = {name: x for name, x in since.items() if x is not None}
+    def _committed(self) -> tuple[int, dict, dict[str, dict]]:
+        """The newest snapshot's number and content, and the committed batches that it does not have (as many as came since)."""
+        while True:
+            named = {name: self._read(f"batches/{name}.json") for name in self._names("batches")}
+            number, snapshot = self._snapshot()
+            known = {r["batch"] for r in self._digests(snapshot).where(F.col("batch").isin(list(named))).collect()} if named and snapshot["digests"] else set()
+            since = {name: x for name, x in named.items() if name not in known}
+            if all(since.values()):  # a batch's file only goes when a snapshot has it; else a newer one is there by now
+                return number, snapshot, since
+
+    def _rows(self, snapshot: dict, since: dict[str, dict]) -> DataFrame | None:
         folders = [f"{self.path}/{x}" for x in [snapshot["folder"], *(x["folder"] for x in since.values())] if x]
-        return number, snapshot["batches"] | {name: x["digest"] for name, x in since.items()}, self.spark.read.schema(SCHEMA).parquet(*folders) if folders else None
+        return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else None
 
     def totals(self) -> DataFrame:
-        rows = self._committed()[2]
+        rows = self._rows(*self._committed()[1:])
         if rows is None:
             return self.spark.createDataFrame([], SCHEMA)
         summed = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -132,14 +161,19 @@ class Rollup:
 
     def compact(self) -> bool:
         """Replace the committed batches by one snapshot of their totals; False if another writer made the same number first."""
-        number, digests, rows = self._committed()
+        number, snapshot, since = self._committed()
+        rows = self._rows(snapshot, since)
         if rows is None:
             return False
         folder = self._write(rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
-        if not self._claim(f"snapshots/{number + 1:012d}.json", {"folder": folder, "batches": digests}):
-            self._fs().delete(self._at(folder), True)
+        digests = f"attempts/{uuid.uuid4().hex}"
+        added = self.spark.createDataFrame([(name, x["digest"]) for name, x in since.items()], DIGESTS)
+        self._digests(snapshot).unionByName(added).write.parquet(f"{self.path}/{digests}")
+        if not self._claim(f"snapshots/{number + 1:012d}.json", {"folder": folder, "digests": digests}):
+            for made in (folder, digests):
+                self._fs().delete(self._at(made), True)
             return False
-        for name in digests:  # readers that still hold the older state read its folders, which stay
+        for name in since:  # readers that still hold the older state read its folders, which stay
             self._fs().delete(self._at(f"batches/{name}.json"), False)
         return True
 
