@@ -13,12 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..sources.tables import settled
+from . import blockmax
 from . import filters as fl
 
 K1, B = 1.5, 0.75
 #: Candidates per wanted row where a filter comes after the ranking.
 OVERFETCH = 10
 
+#: Distinct tokens of queries up to which an index that is made for them leaves out all others.
+ONLY = 500_000
+
 Analyzer = Callable[[Column], Column]
 
 
@@ -90,16 +95,26 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, query_id: str, query_col: str, where: dict | None = None, mode: str = "compat", analyze: Analyzer = terms, index: Index | None = None) -> DataFrame:
     """The best k documents of each query. compat: rank OVERFETCH * k, then filter, then cut; exact: filter, then rank.
 
-    Statistics are those of the whole corpus either way.
+    Statistics are those of the whole corpus either way. Without an index, shards with block bounds are made of the documents
+    (of the queries' tokens alone, if these are few) and searched there.
     """
     wanted = query_terms(queries, query_id, query_col, analyze)
-    index = index or build(docs, id_col, text_col, analyze, only=wanted)
-    scored = scores(index, wanted)
-    if where is None:
+    n = k if where is None or mode == "exact" else OVERFETCH * k
+    allowed = None if where is None else fl.apply(docs, where=where)
+    if index is None:
+        names = [r["token"] for r in wanted.select("token").distinct().limit(ONLY + 1).collect()]
+        only = names if len(names) <= ONLY else None
+        shards = lambda own: settled(blockmax.shards(own, id_col, analyze(F.coalesce(F.col(text_col), F.lit(""))), only))
+        built = blockmax.Index.of(shards(docs))
+        if allowed is not None and mode == "exact":
+            built = blockmax.Index(shards(allowed), built.tokens, built.corpus)
+        scored = blockmax.top_k(built, wanted, n, K1, B)
+    else:
+        scored = scores(index, wanted)
+        if allowed is not None and mode == "exact":
+            scored = scored.join(allowed.select(F.col(id_col).alias("id")), "id", "left_semi")
+    if allowed is None or mode == "exact":
         return ranked(scored, k)
-    allowed = fl.apply(docs, where=where).select(F.col(id_col).alias("id"))
-    if mode == "exact":
-        return ranked(scored.join(allowed, "id", "left_semi"), k)
-    kept = ranked(scored, OVERFETCH * k).join(allowed, "id", "left_semi")
+    kept = ranked(scored, n).join(allowed.select(F.col(id_col).alias("id")), "id", "left_semi")
     again = Window.partitionBy("query_id").orderBy("rank")
     return kept.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k).select("query_id", "id", "rank", "distance")
