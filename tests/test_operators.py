@@ -386,6 +386,7 @@ def test_config():
 
 
 def test_stream_upserts_new_pages(spark, tmp_path):
+    from weftline.sources.versioned import VersionedTable
     from weftline.streaming.ingest import ingest
 
     page = "<main><p>{} text of it</p></main>"
@@ -393,7 +394,7 @@ def test_stream_upserts_new_pages(spark, tmp_path):
         spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
         query = ingest(spark, f"{tmp_path}/pages", f"{tmp_path}/docs", f"{tmp_path}/check")
         query.awaitTermination(120)
-    got = {r["page_id"]: r["markdown"] for r in spark.read.parquet(f"{tmp_path}/docs/v1").collect()}
+    got = {r["page_id"]: r["markdown"] for r in VersionedTable(spark, f"{tmp_path}/docs", "page_id").read().collect()}
     assert got == {"1": "new text of it\n", "2": "other text of it\n"}
 
 

@@ -124,6 +124,7 @@ class Shard:
     cell_block: np.ndarray
     cell_tf: np.ndarray
     cell_post: np.ndarray  # first posting of each cell, and the end
+    dead: np.ndarray  # whether a document is gone
     scored: int = 0
     met: int = 0
 
@@ -138,7 +139,10 @@ class Shard:
         ids = head["of_ids"].combine_chunks().flatten()
         norm = k1 * (1 - b + b * lengths / avgdl) if avgdl else np.full(len(lengths), k1 * (1 - b))
         row = {t: k for k, t in enumerate(postings["token"].to_pylist())}
-        return cls(ids, lengths, norm, row, docs, flat("tfs").astype(float), np.append(0, np.cumsum(counts)), blocks, flat("block_tfs").astype(float), np.append(starts, len(docs)))
+        dead = np.zeros(-(-len(lengths) // BLOCK) * BLOCK, bool)
+        if "of_dead" in head.column_names:
+            dead[head["of_dead"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = True
+        return cls(ids, lengths, norm, row, docs, flat("tfs").astype(float), np.append(0, np.cumsum(counts)), blocks, flat("block_tfs").astype(float), np.append(starts, len(docs)), dead)
 
     def search(self, query: list[tuple[str, float]], k: int, floor: float, first_block: bool) -> tuple[np.ndarray, np.ndarray]:
         """Places and rounded scores of documents among the best k; none whose score is below floor, and not all that are ties."""
@@ -206,7 +210,7 @@ class Shard:
             seen[local] = True
 
         add(np.flatnonzero(inside & must), None)
-        alive = seen & (total + np.repeat(rest, BLOCK) >= floor - SLACK)
+        alive = seen & ~self.dead.reshape(-1, BLOCK)[part].ravel() & (total + np.repeat(rest, BLOCK) >= floor - SLACK)
         if alive.any():
             has = np.zeros(bound.shape[1], bool)
             has[part[np.flatnonzero(alive.reshape(-1, BLOCK).any(1))]] = True
@@ -219,11 +223,12 @@ class Shard:
 
 @dataclass
 class Index:
-    """Shards with what scores need of the whole corpus: tokens(token, df) and corpus(n, avgdl)."""
+    """Shards with what scores need of the whole corpus: tokens(token, df) and corpus(n, avgdl); dead(shard, place): documents that are gone."""
 
     table: DataFrame
     tokens: DataFrame
     corpus: DataFrame
+    dead: DataFrame | None = None
 
     @classmethod
     def of(cls, table: DataFrame) -> Index:
@@ -252,6 +257,9 @@ def top_k(index: Index, wanted: DataFrame, k: int, k1: float, b: float, seen: Ca
         few = F.broadcast(spark.createDataFrame([(x,) for x in names], "token string"))  # of one block of queries
         table = index.table.join(few, "token", "left_semi").select("shard", "token", "docs", "tfs", "blocks", "block_tfs")
         heads = index.table.where("token IS NULL").select(F.col("shard").alias("of"), F.col("ids").alias("of_ids"), F.col("lengths").alias("of_lengths"))
+        if index.dead is not None:
+            gone = index.dead.groupBy(F.col("shard").alias("of")).agg(F.collect_set("place").alias("of_dead"))  # a shard's documents at most
+            heads = heads.join(gone, "of", "left")
         lists = [[(t["token"], t["idf"]) for t in r["terms"]] for r in rows]
         key_type = _arrow(query_type)
 

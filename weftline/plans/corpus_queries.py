@@ -8,6 +8,8 @@ from ..functions import text as tx
 from ..functions import urls
 from ..operators import chunking, curation, fusion, generation, html, labels, metrics, vector
 from ..sources import artifacts, crawl, tables
+from ..sources.segments import SegmentedIndex
+from ..sources.versioned import VersionedTable
 from . import pipeline as plans
 from .registry import CHUNKS, FIRST, FLAT, K, OVER_DOCS, OVERLAPS, PASSAGES, PATH, bm25_sql, chunks, first_spans, integer, keyword, passages, query, ranked_sql, shared_terms, targets
 
@@ -356,3 +358,36 @@ def html_to_markdown(read):
 @query(f"WITH {PAGES} SELECT page_id, trim({PLAIN.format('h1')}) AS title, '' AS breadcrumbs, '' AS topic, NULL::VARCHAR AS error FROM cut")
 def page_metadata(read):
     return html.metadata(read("pages")).select("page_id", "title", F.array_join("breadcrumbs", " > ").alias("breadcrumbs"), urls.topic("topics").alias("topic"), "error")
+
+
+# ---------------------------------------------------------------- versioned tables
+
+
+@query("""WITH base AS (SELECT doc_id, lang, n_chars FROM documents), renewed AS (SELECT doc_id, upper(lang) AS lang, n_chars + 1 AS n_chars FROM base WHERE doc_id % 10 = 0),
+    added AS (SELECT doc_id + 1000000000 AS doc_id, lang, n_chars FROM base WHERE doc_id % 50 = 0)
+    SELECT * FROM (SELECT * FROM base WHERE doc_id NOT IN (SELECT doc_id FROM renewed) UNION ALL SELECT * FROM renewed UNION ALL SELECT * FROM added) WHERE doc_id % 25 <> 3""")
+def versioned_upsert(read):
+    """All documents, a batch of changed and new ones that is sent twice, and one of deletions; the table's newest version."""
+    base = read("documents").select("doc_id", "lang", "n_chars")
+    table = VersionedTable(base.sparkSession, tables.scratch(base.sparkSession, "versioned"), "doc_id", buckets=16)
+    table.upsert(base)
+    renewed = base.where("doc_id % 10 = 0").select("doc_id", F.upper("lang").alias("lang"), (F.col("n_chars") + 1).alias("n_chars"))
+    changed = renewed.union(base.where("doc_id % 50 = 0").select(F.col("doc_id") + 1_000_000_000, "lang", "n_chars"))
+    for _ in range(2):
+        table.upsert(changed, batch="changed")
+    table.delete(table.read().where("doc_id % 25 = 3"))
+    return table.read()
+
+
+@query(f"""WITH final AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' ' || lang ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 25 <> 3),
+    {bm25_sql("final", "doc_id", PASSAGES)} {ranked_sql("score", K)}""")
+def segmented_bm25(read):
+    """Documents in three batches, of which the last replaces some and deletes others; two segments are merged in between."""
+    docs = read("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    index = SegmentedIndex(docs.sparkSession, tables.scratch(docs.sparkSession, "segments"))
+    for part in (0, 1):
+        index.apply(docs.where(F.col("doc_id") % 2 == part), "doc_id", batch=f"part {part}")
+    index.merge(list(index.state().segments))
+    changed = docs.where("doc_id % 10 = 0 AND doc_id % 25 <> 3").select("doc_id", F.concat_ws(" ", "text", "lang").alias("text"))
+    index.apply(changed, "doc_id", deleted=docs.where("doc_id % 25 = 3"), batch="changes")
+    return integer(index.top_k(passages(read), K, "query_id", "query"), "rank")

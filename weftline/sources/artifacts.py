@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
 from ..operators.bm25 import Index, analyzer
+from .files import Folder
 from .tables import new_only, settled, upsert
+from .versioned import VersionedTable
 
 #: A mapped test set: what a query is, and the chunks that are relevant for it.
 TEST_SET = "query_id string, query string, query_type string, answer_type string, expected_answer_points array<string>, chunks array<struct<chunk_id:string,overlap_score:double,overlap_chars:bigint>>"
@@ -93,12 +94,18 @@ def counted_by(rows: DataFrame, statuses: list[str], col: str = "status") -> Dat
 def store_new(rows: DataFrame, path: str, key: str, overwrite: bool = False) -> DataFrame:
     """Append rows whose key the table at path does not hold yet, or replace those it holds; the rows that were written."""
     spark = rows.sparkSession
+    if not exists(spark, path) and exists(spark, f"{path}.next/_SUCCESS"):
+        Folder(spark, path.rstrip("/").rsplit("/", 1)[0]).move(f"{path.rstrip('/')}.next".rsplit("/", 1)[1], path.rstrip("/").rsplit("/", 1)[1])
     old = spark.read.schema(rows.schema).parquet(path) if exists(spark, path) else None
     fresh = settled(rows if old is None or overwrite else new_only(rows, old, key))
     if old is None or not overwrite:
         fresh.write.mode("append").parquet(path)
     else:
-        settled(upsert(old, fresh, key)).write.mode("overwrite").parquet(path)
+        base, name = path.rstrip("/").rsplit("/", 1)
+        folder = Folder(spark, base)
+        upsert(old, fresh, key).write.mode("overwrite").parquet(f"{path}.next")
+        folder.delete(name)  # a driver lost from here on leaves the whole new table beside, where the next call finds it
+        folder.move(f"{name}.next", name)
     return fresh
 
 
@@ -121,30 +128,8 @@ def write_details(df: DataFrame, path: str) -> None:
 # ---------------------------------------------------------------- collections and indexes
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _fs(spark, path)
-    return fs.exists(at)
-
-
-def _put(spark: SparkSession, path: str, content: dict) -> None:
-    fs, at = _fs(spark, path)
-    out = fs.create(at, True)
-    out.write(json.dumps(content).encode())
-    out.close()
-
-
-def _get(spark: SparkSession, path: str) -> dict:
-    fs, at = _fs(spark, path)
-    src = fs.open(at)
-    try:
-        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(src)))
-    finally:
-        src.close()
+    return Folder(spark, path).exists()
 
 
 @dataclass
@@ -160,48 +145,49 @@ class Collections:
         return f"{self.root}/{name}"
 
     def names(self) -> list[str]:
-        fs, at = _fs(self.spark, self.root)
-        return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
+        own = Folder(self.spark, self.root)
+        return [n for n in own.names() if own.exists(f"{n}/_metadata.json")]
 
     def get_or_create(self, name: str, metadata: dict) -> dict:
         """The collection's metadata; given ones if it is new."""
-        path = f"{self._path(name)}/_metadata.json"
-        if not exists(self.spark, path):
-            _put(self.spark, path, {"version": 0, **metadata})
-        return _get(self.spark, path)
-
-    def upsert(self, name: str, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
-        """Replace rows of known keys and add the others; the last of several rows of one key in a batch wins by content. The collection afterwards."""
-        meta = self.get_or_create(name, {})
-        once = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*(c for c in rows.columns if c != key)).desc()))).where("_n = 1").drop("_n")
-        old = self.read(name) if meta["version"] else None
-        version = meta["version"] + 1
-        upsert(old, once, key).write.mode("overwrite").parquet(f"{self._path(name)}/v{version}")
-        _put(self.spark, f"{self._path(name)}/_metadata.json", {**meta, "version": version})  # readers see the whole version or the one before
+        own = Folder(self.spark, self._path(name))
+        own.claim("_metadata.json", metadata)
+        return own.read("_metadata.json")
+
+    def _table(self, name: str, key: str = "chunk_id") -> VersionedTable:
+        return VersionedTable(self.spark, self._path(name), key)
+
+    def upsert(self, name: str, rows: DataFrame, key: str = "chunk_id", order: str | None = None, batch: str | None = None) -> DataFrame:
+        """Replace rows of known keys and add the others, in their buckets alone. The collection afterwards.
+
+        Of several rows of one key the greatest of order wins, or one by content; a named batch counts once.
+        """
+        self.get_or_create(name, {})
+        self._table(name, key).upsert(rows, order, batch)
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
+        """The newest version, whole, whatever writers do meanwhile."""
         if name not in self.names():
             raise ValueError(f"no collection {name!r}; there are {', '.join(self.names()) or 'none'}")
-        return self.spark.read.parquet(f"{self._path(name)}/v{self.get_or_create(name, {})['version']}")
+        return self._table(name).read()
 
     def delete(self, name: str) -> bool:
         """False if there is none."""
-        fs, at = _fs(self.spark, self._path(name))
-        return fs.delete(at, True) if fs.exists(at) else False
+        return Folder(self.spark, self._path(name)).delete()
 
 
 def save_index(index: Index, path: str, stem: bool = False, stopwords: list[str] | None = None, source: str = "") -> None:
     """The index with a file beside it that says how its terms were made."""
     index.save(path)
-    _put(index.corpus.sparkSession, f"{path}/_metadata.json", {"stem": stem, "stopwords": stopwords or [], "source": source})
+    Folder(index.corpus.sparkSession, path).replace("_metadata.json", {"stem": stem, "stopwords": stopwords or [], "source": source})
 
 
 def load_index(spark: SparkSession, path: str):
     """The index, the analyzer that its queries need, and its metadata."""
     from ..functions.stem import stemmed
 
-    if not exists(spark, f"{path}/_metadata.json"):
+    meta = Folder(spark, path).read("_metadata.json")
+    if meta is None:
         raise ValueError(f"no index at {path}")
-    meta = _get(spark, f"{path}/_metadata.json")
     return Index.load(spark, path), analyzer(meta["stopwords"], stemmed if meta["stem"] else None), meta

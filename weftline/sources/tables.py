@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import Folder
+
 #: Columns of artifacts, and those that must have a value (for text: a non-empty one).
 RAW_MANIFEST = "document_id string, title string, source_url string, source_type string, product_area string, fetch_timestamp string, raw_file_path string"
 PROCESSED_MANIFEST = RAW_MANIFEST + ", topic string, processed_file_path string"
@@ -47,9 +49,8 @@ def checked(df: DataFrame, kind: str) -> DataFrame:
     return df
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written once to spark.checkpoint.dir: what is read twice is the same both times, whatever executors are lost."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in a local session without it."""
     if spark.sparkContext.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
@@ -57,9 +58,20 @@ def settled(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(root)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written once to spark.checkpoint.dir: what is read twice is the same both times, whatever executors are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/weftline-{what}-{uuid.uuid4().hex}"
+
+
 def index_payload(chunks: DataFrame) -> DataFrame:
     """Flat columns of a chunk for an index, with defaults."""
     text = lambda c, other="": F.coalesce(F.col(c), F.lit(other)).alias(c)
@@ -88,7 +100,7 @@ def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write_summary(df: DataFrame, path: str, metadata: dict | None = None) -> None:
-    """Metrics by cutoff (a row each, as few as there are cutoffs) as one JSON file."""
+    """Metrics by cutoff (a row each, as few as there are cutoffs) as one JSON file, in any file system that Spark knows."""
     rows = {str(r["k"]): {c: r[c] for c in df.columns if c != "k"} for r in df.orderBy("k").collect()}
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump({"metadata": metadata or {}, "metrics_by_k": rows}, out, indent=2)
+    base, _, name = path.rpartition("/")
+    Folder(df.sparkSession, base or ".").replace(name, {"metadata": metadata or {}, "metrics_by_k": rows})

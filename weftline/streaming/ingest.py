@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import html
-from ..sources.tables import upsert
+from ..sources.versioned import VersionedTable
 
 
 def ingest(spark: SparkSession, pages_dir: str, table_dir: str, checkpoint: str, main_selectors: list[str] = html.MAIN_SELECTORS):
-    """Start the stream; pages(page_id, url, html) arrive as Parquet files. A batch that is run again writes the same version."""
+    """Start the stream; pages(page_id, url, html) arrive as Parquet files, VersionedTable(spark, table_dir, "page_id") has the documents.
+
+    A micro-batch rewrites the buckets of its own pages, and is named after its number: one that is run again changes nothing.
+    """
+    table = VersionedTable(spark, table_dir, "page_id")
 
     def write(batch: DataFrame, number: int) -> None:
         blocks, _ = html.html_blocks(batch.dropDuplicates(["page_id"]), main_selectors)
-        made = html.markdown(blocks)
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(table_dir)
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [int(x.getPath().getName()[1:]) for x in fs.listStatus(at) if x.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))] if fs.exists(at) else []
-        before = [n for n in done if n < number]
-        old = spark.read.parquet(f"{table_dir}/v{max(before)}") if before else None
-        upsert(old, made, "page_id").write.mode("overwrite").parquet(f"{table_dir}/v{number}")
+        table.upsert(html.markdown(blocks), batch=f"{checkpoint}#{number}")
 
     pages = spark.readStream.schema("page_id long, url string, html string").parquet(pages_dir)
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
