@@ -6,10 +6,12 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, shorten
+from ..sources.tables import scratch, settled
+from ..sources.versioned import VersionedTable
 
 MAX_CHUNK_CHARS = 1600
 #: What a prompt and a judge's prompt say around their parts; both may be replaced.
@@ -88,6 +90,43 @@ def call(rows: DataFrame, prompt_col: str, make_provider: Callable[[], Provider]
     return rows.select(*names).mapInPandas(run, schema)
 
 
+class AnswerLog:
+    """Answers by the hash of settings, system text and prompt, kept under a path: what was answered is not asked again.
+
+    Prompts that the log lacks are asked once each, in slices that are committed one after another; a run that breaks off has
+    lost its slice alone, and a second run asks nothing. Failed prompts are not kept, so the next run asks them again.
+    settings says what else an answer depends on, as the model and its temperature.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, settings: str = "", slice_size: int = 10_000, buckets: int = 16):
+        self.spark, self.settings, self.slice_size = spark, settings, slice_size
+        self.table = VersionedTable(spark, path, "key", buckets)
+
+    def _known(self, keys: DataFrame) -> DataFrame:
+        return self.table.lookup(keys) if self.table.version() else self.spark.createDataFrame([], "key string, answer string")
+
+    def call(self, rows: DataFrame, prompt_col: str, make_provider: Callable[[], Provider], system: str, answer: str, error: str) -> DataFrame:
+        """As call(): rows with the answer or the error of their prompt; rows whose prompt is null get neither."""
+        names = [c for c in rows.columns if c not in (answer, error)]
+        name = "key"
+        while name in names:
+            name += "_"
+        digest = F.sha2(F.concat_ws("\x1f", F.lit(self.settings), F.lit(system), F.col(prompt_col)), 256)
+        own = settled(rows.select(*names, F.when(F.col(prompt_col).isNotNull(), digest).alias(name)))
+        asked = settled(own.where(F.col(name).isNotNull()).select(F.col(name).alias("key"), F.col(prompt_col).alias("prompt")).dropDuplicates(["key"]))
+        new = settled(asked.join(self._known(asked), "key", "left_anti"))
+        parts = -(-new.count() // self.slice_size)
+        failed = self.spark.createDataFrame([], "key string, error string")
+        for part in range(parts):
+            path = scratch(self.spark, "answers")
+            call(new.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part), "prompt", make_provider, system, "answer", "error").write.parquet(path)
+            got = self.spark.read.parquet(path)
+            failed = failed.unionByName(got.where("error IS NOT NULL").select("key", "error"))
+            self.table.upsert(got.where("error IS NULL").select("key", "answer"))
+        found = self._known(asked).select(F.col("key").alias(name), F.col("answer").alias(answer))
+        return own.join(found, name, "left").join(failed.select(F.col("key").alias(name), F.col("error").alias(error)), name, "left").drop(name)
+
+
 def judged(rows: DataFrame, raw: str = "judge_raw") -> DataFrame:
     """rows with judge_evaluation read from JSON: exactly the three criteria, each with an explanation and a score of 1 to 5; else judge_error."""
     parsed = F.from_json(F.col(raw), JUDGEMENT)
@@ -102,20 +141,21 @@ def judged(rows: DataFrame, raw: str = "judge_raw") -> DataFrame:
     return rows.withColumn("judge_evaluation", F.when(good, parsed)).withColumn("judge_error", F.coalesce(old, bad))
 
 
-def evaluate(queries: DataFrame, retrieved: DataFrame, answerer: Callable[[], Provider], judge: Callable[[], Provider], system: str = "", judge_system: str = "", limit: int = MAX_CHUNK_CHARS) -> DataFrame:
+def evaluate(queries: DataFrame, retrieved: DataFrame, answerer: Callable[[], Provider], judge: Callable[[], Provider], system: str = "", judge_system: str = "", limit: int = MAX_CHUNK_CHARS, log: AnswerLog | None = None) -> DataFrame:
     """A row a query: answer, judgement, and the error of the stage that failed; later stages of it are null.
 
-    queries may have retrieval_error and expected_answer_points.
+    queries may have retrieval_error and expected_answer_points. With a log, prompts that it has answers for are not asked.
     """
+    ask = log.call if log else call
     own = queries if "retrieval_error" in queries.columns else queries.withColumn("retrieval_error", F.lit(None).cast("string"))
     own = own if "expected_answer_points" in own.columns else own.withColumn("expected_answer_points", F.array().cast("array<string>"))
     texts = retrieved.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", shorten(collapse("text"), limit).alias("text")))).alias("chunks"))
     asked = prompts(own.select("query_id", "query"), retrieved, limit=limit).select("query_id", "user_prompt")
     rows = own.join(asked, "query_id").join(texts, "query_id", "left").withColumn("user_prompt", F.when(F.col("retrieval_error").isNull(), F.col("user_prompt")))
-    answered = call(rows, "user_prompt", answerer, system, "generated_answer", "generation_error")
+    answered = ask(rows, "user_prompt", answerer, system, "generated_answer", "generation_error")
     shown = F.coalesce(F.transform("chunks", lambda c: c["text"]), F.array().cast("array<string>"))
     asked = answered.withColumn("judge_prompt", F.when(F.col("generated_answer").isNotNull(), judge_prompt(F.col("query"), shown, F.col("generated_answer"), F.col("expected_answer_points"))))
-    return judged(call(asked, "judge_prompt", judge, judge_system, "judge_raw", "judge_error")).drop("user_prompt", "judge_prompt", "judge_raw", "chunks")
+    return judged(ask(asked, "judge_prompt", judge, judge_system, "judge_raw", "judge_error")).drop("user_prompt", "judge_prompt", "judge_raw", "chunks")
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import overlap
+from .intervals import overlap_join
 
 #: Characters of all needles that are shipped to executors at once.
 NEEDLE_CHARS = 32 << 20
@@ -82,7 +83,8 @@ def map_to_chunks(targets: DataFrame, chunks: DataFrame) -> DataFrame:
     length = targets.groupBy("query_id").agg(F.sum(F.col("end") - F.col("start")).alias("answer_chars"))
     c = chunks.select("chunk_id", "document_id", "chunk_index", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
     shared = overlap("start", "end", "c_start", "c_end").cast("long")
-    met = targets.join(c, "document_id").where(shared > 0).groupBy("query_id", "chunk_id").agg(F.sum(shared).alias("overlap_chars"), F.min(F.struct("target_idx", "chunk_index")).alias("touched"))
+    own = targets.select("query_id", "target_idx", "document_id", "start", "end")
+    met = overlap_join(own, c, "document_id", ("start", "end"), ("c_start", "c_end")).groupBy("query_id", "chunk_id").agg(F.sum(shared).alias("overlap_chars"), F.min(F.struct("target_idx", "chunk_index")).alias("touched"))
     return met.join(length, "query_id").withColumn("overlap_score", F.round(F.col("overlap_chars") / F.col("answer_chars"), 6))
 
 

@@ -9,7 +9,7 @@ from typing import Any, Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bm25, filters, fusion, vector
+from ..operators import bm25, filters, fusion, generation, vector
 
 #: Candidates per wanted row where a reranker follows and no number is given.
 CANDIDATES = 5
@@ -77,8 +77,11 @@ class VectorComponent:
         return vector.top_k(filters.apply(self.chunks, where=request.payload), queries, request.top_k, self.id_col, self.vector_col, "query_id", "vector")
 
 
-def build(config: RetrievalConfig, chunks: DataFrame, make_embedder: Callable[[], vector.Embedder] | None = None, scorer: Callable | None = None, index: bm25.Index | None = None) -> Pipeline:
-    """The pipeline that a configuration describes, over chunks; a vector component embeds them unless they have vectors."""
+def build(config: RetrievalConfig, chunks: DataFrame, make_embedder: Callable[[], vector.Embedder] | None = None, scorer: Callable | None = None, index: bm25.Index | None = None, make_scorer: Callable[[], fusion.PairScorer] | None = None, model: str = "model") -> Pipeline:
+    """The pipeline that a configuration describes, over chunks; a vector component embeds them unless they have vectors.
+
+    Reranking is by scorer, a function of columns, or by make_scorer, which makes a model's scorer of pairs in each task.
+    """
     made: list[Component] = []
     for name in config.components:
         if name == "bm25":
@@ -89,7 +92,8 @@ def build(config: RetrievalConfig, chunks: DataFrame, make_embedder: Callable[[]
         else:
             raise ValueError(f"no such component: {name}")
     texts = chunks.select(F.col("chunk_id").alias("id"), "text")
-    return Pipeline(made, config.aggregation_strategy, config.component_weights, scorer if config.reranking else None, texts)
+    on = config.reranking
+    return Pipeline(made, config.aggregation_strategy, config.component_weights, scorer if on else None, texts, make_scorer if on else None, model)
 
 
 @dataclass
@@ -99,6 +103,8 @@ class Pipeline:
     weights: dict[str, float] | None = None
     scorer: Callable | None = None
     texts: DataFrame | None = None
+    make_scorer: Callable[[], fusion.PairScorer] | None = None
+    model: str = "model"
     names: list[str] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -109,19 +115,24 @@ class Pipeline:
             raise ValueError(f"no such strategy: {self.strategy}")
         if self.weights is not None and self.strategy != "weighted_rrf":
             raise ValueError("only weighted_rrf takes weights")
+        if self.scorer is not None and self.make_scorer is not None:
+            raise ValueError("one scorer reranks")
         if self.strategy == "weighted_rrf":
             self.weights = fusion.normalize_weights(self.names, self.weights)
 
     def retrieve(self, request: Request) -> DataFrame:
-        wanted = request if self.scorer is None else replace(request, top_k=request.candidates)
+        reranked = self.scorer is not None or self.make_scorer is not None
+        wanted = request if not reranked else replace(request, top_k=request.candidates)
         results = {c.name: c.retrieve(wanted) for c in self.components}
         fused = next(iter(results.values())) if len(results) == 1 else fusion.STRATEGIES[self.strategy](results, wanted.top_k, self.weights)
-        if self.scorer is None:
+        if not reranked:
             return fused
+        if self.make_scorer is not None:
+            return fusion.rerank_by_model(fused, self.texts, request.queries, self.make_scorer, request.top_k, self.model)
         return fusion.rerank(fused, self.texts, request.queries, self.scorer, request.top_k)
 
     def description(self) -> dict[str, Any]:
-        return {"components": self.names, "combination": "hybrid" if len(self.names) > 1 else "single_component", "aggregation_strategy": self.strategy, "component_weights": self.weights if len(self.names) > 1 else None, "reranking": self.scorer is not None}
+        return {"components": self.names, "combination": "hybrid" if len(self.names) > 1 else "single_component", "aggregation_strategy": self.strategy, "component_weights": self.weights if len(self.names) > 1 else None, "reranking": self.scorer is not None or self.make_scorer is not None}
 
 
 @dataclass(frozen=True)
@@ -188,6 +199,11 @@ def override(config: RetrievalConfig, **given: Any) -> RetrievalConfig:
     return replace(config, **changed)
 
 
+def answer(pipeline: Pipeline, request: Request, chunks: DataFrame, make_provider: Callable, make_judge: Callable, log: generation.AnswerLog | None = None) -> DataFrame:
+    """Retrieve, answer from what was found, and judge: a row for each query, with the errors of its stages."""
+    return generation.evaluate(request.queries, fusion.presented(pipeline.retrieve(request), chunks), make_provider, make_judge, log=log)
+
+
 def review(results: DataFrame, qrels: DataFrame) -> DataFrame:
     """Results with whether they are relevant."""
     return results.join(qrels.select("query_id", "id", F.lit(True).alias("relevant")).distinct(), ["query_id", "id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
