@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import bm25, chunking, curation, filters, fusion, generation, html, labels, metrics, vector
+from ..operators import bm25, chunking, curation, filters, fusion, generation, html, ivf, labels, metrics, vector
 from ..sources import tables
 from . import pipeline as plans
 
@@ -158,6 +158,13 @@ def lsh_topk(read):
     return integer(vector.lsh_top_k(read("embeddings"), vector_queries(read), K, "vec_id", "embedding", "query_id", "vector"), "rank")
 
 
+@query(NEAR.format(""))
+def ivf_topk(read):
+    own = read("embeddings")
+    index = ivf.build(own, "vec_id", "embedding", tables.scratch(own.sparkSession, "ivf"))
+    return integer(index.top_k(vector_queries(read), K, "query_id", "vector"), "rank")
+
+
 # ---------------------------------------------------------------- fusion and reranking
 
 
