@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import overlap
+from . import anchors
 from .intervals import overlap_join
 
 #: Characters of all needles that are shipped to executors at once.
@@ -20,8 +21,19 @@ NEEDLE_CHARS = 32 << 20
 def find_spans(docs: DataFrame, needles: DataFrame, id_col: str, text_col: str, needle_id: str, needle_col: str, first: bool = False) -> DataFrame:
     """needle_id, id, start and end of every place of every needle in every document; with first only its first place.
 
-    Ids keep their types. All needles of a block are found in one pass over a text by an automaton; blocks bound what is shipped.
+    Ids keep their types. Needles of one block are found in one pass over a text by an automaton. Of more than a block those
+    that are long enough are looked up by rare grams instead, and the short ones in blocks, which bound what is shipped.
     """
+    total = int(needles.agg(F.coalesce(F.sum(F.length(needle_col)), F.lit(0))).first()[0])
+    if total <= NEEDLE_CHARS:
+        return automaton_spans(docs, needles, id_col, text_col, needle_id, needle_col, first)
+    short = needles.where(F.length(needle_col) < anchors.SHORTEST)
+    names = (id_col, text_col, needle_id, needle_col, first)
+    return anchors.find_spans(docs, needles, *names).unionByName(automaton_spans(docs, short, *names))
+
+
+def automaton_spans(docs: DataFrame, needles: DataFrame, id_col: str, text_col: str, needle_id: str, needle_col: str, first: bool = False) -> DataFrame:
+    """find_spans by an automaton of each block of needles."""
     spark = docs.sparkSession
     given = needles.where(F.length(needle_col) > 0).select(F.col(needle_id).alias("needle_id"), F.col(needle_col).alias("needle"))
     blocks = max(1, -(-int(given.agg(F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()[0]) // NEEDLE_CHARS))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import bm25, chunking, curation, filters, fusion, generation, html, ivf, labels, metrics, vector
+from ..operators import anchors, bm25, chunking, curation, filters, fusion, generation, html, ivf, labels, metrics, vector
 from ..sources import tables
 from . import pipeline as plans
 
@@ -277,12 +277,23 @@ def span_lookup_first(read):
     return first_spans(read)
 
 
-@query("""SELECT item_id AS needle_id, doc_id AS id, i - 1 AS start, i - 1 + length(needle) AS "end" FROM (
-    SELECT item_id, doc_id, d.text, b.text AS needle, unnest(range(1, length(d.text) - length(b.text) + 2)) AS i FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text)) WHERE substr(text, i, length(needle)) = needle""")
+EVERY_SPAN = """SELECT item_id AS needle_id, doc_id AS id, i - 1 AS start, i - 1 + length(needle) AS "end" FROM (
+    SELECT item_id, doc_id, d.text, b.text AS needle, unnest(range(1, length(d.text) - length(b.text) + 2)) AS i FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text)) WHERE substr(text, i, length(needle)) = needle"""
+
+
+@query(EVERY_SPAN)
 def span_lookup_all(read):
     return labels.find_spans(read("documents"), read("benchmark"), "doc_id", "text", "item_id", "text")
 
 
+@query(EVERY_SPAN)
+def span_lookup_anchors(read):
+    """span_lookup_all by rare grams, for needles of 27 characters and more, and by an automaton for shorter ones."""
+    docs, needles = read("documents"), read("benchmark")
+    names = ("doc_id", "text", "item_id", "text")
+    return anchors.find_spans(docs, needles, *names).unionByName(labels.automaton_spans(docs, needles.where(F.length("text") < anchors.SHORTEST), *names))
+
+
 OVERLAPS = f"""{FIRST}, {CHUNKS}, answers AS (SELECT needle_id, sum("end" - start) AS answer_chars FROM spans GROUP BY 1),
     met AS (SELECT needle_id AS query_id, chunk_id, sum(greatest(0, least(s."end", c."end") - greatest(s.start, c.start)))::BIGINT AS overlap_chars
         FROM spans AS s JOIN chunks AS c ON c.document_id = s.id AND least(s."end", c."end") > greatest(s.start, c.start) GROUP BY ALL)"""
