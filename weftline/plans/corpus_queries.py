@@ -11,7 +11,7 @@ from ..sources import artifacts, crawl, tables
 from ..sources.segments import SegmentedIndex
 from ..sources.versioned import VersionedTable
 from . import pipeline as plans
-from .registry import CHUNKS, FIRST, FLAT, K, OVER_DOCS, OVERLAPS, PASSAGES, PATH, bm25_sql, chunks, first_spans, integer, keyword, passages, query, ranked_sql, shared_terms, targets
+from .registry import CHUNKS, FIRST, FLAT, K, ORACLE_SQL, OVER_DOCS, OVERLAPS, PASSAGES, PATH, bm25_sql, chunks, first_spans, integer, keyword, passages, query, ranked_sql, shared_terms, targets
 
 TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
@@ -391,3 +391,44 @@ def segmented_bm25(read):
     changed = docs.where("doc_id % 10 = 0 AND doc_id % 25 <> 3").select("doc_id", F.concat_ws(" ", "text", "lang").alias("text"))
     index.apply(changed, "doc_id", deleted=docs.where("doc_id % 25 = 3"), batch="changes")
     return integer(index.top_k(passages(read), K, "query_id", "query"), "rank")
+
+
+# ---------------------------------------------------------------- chunks of pages
+
+
+def token_sql(x: str) -> str:
+    """Words and single other characters of a text."""
+    return rf"regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
+
+
+def before_sql(sizes: str) -> str:
+    """The sums of the first 0, 1, ... numbers of a list."""
+    return f"list_transform(range(0, len({sizes}) + 1), lambda k: coalesce(list_sum({sizes}[1:k]), 0)::BIGINT)"
+
+
+#: Of these tables' pages: one section of a heading and paragraphs. Units that don't fit are parted by sentences, then by tokens;
+#: windows go forward step by step. Sizes of units, sentences and runs of tokens add up.
+CHUNKED = rf"""WITH RECURSIVE {PAGES}, md AS (SELECT page_id, string_agg(markdown, chr(10) || chr(10) ORDER BY pos) || chr(10) AS doc, any_value(title) AS title FROM kept JOIN (SELECT page_id, trim({PLAIN.format('h1')}) AS title FROM cut) USING (page_id) GROUP BY 1),
+    split AS (SELECT page_id, title, string_split(rtrim(doc, ' ' || chr(10)), chr(10) || chr(10)) AS bs FROM md),
+    blocks AS (SELECT page_id, title, bs, u, {before_sql("list_transform(bs, lambda b: length(b) + 2)")} AS ends FROM (SELECT *, unnest(range(1, len(bs) + 1)) AS u FROM split)),
+    units AS (SELECT page_id, title, u, trim(bs[u], ' ' || chr(10)) AS text, ends[u] + length(bs[u]) - length(ltrim(bs[u], ' ' || chr(10))) AS start FROM blocks WHERE trim(bs[u], ' ' || chr(10)) <> ''),
+    heads AS (SELECT page_id, title, trim(regexp_replace(regexp_replace(regexp_extract(text, '^#\s+(.+?)\s*$', 1), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '[*_`~]', '', 'g')) AS bare FROM units WHERE u = 1),
+    named AS (SELECT page_id, CASE WHEN lower(trim(regexp_replace(bare, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))) = lower(trim(regexp_replace(title, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))) THEN '' ELSE bare END AS section FROM heads),
+    based AS (SELECT page_id, section, 2 + len({token_sql("'Title: ' || title || CASE WHEN section = '' THEN '' ELSE chr(10) || 'Section: ' || section END")}) AS base FROM named JOIN heads USING (page_id)),
+    sized AS (SELECT units.*, section, base, len({token_sql("text")}) AS n FROM units JOIN based USING (page_id)),
+    marked AS (SELECT *, CASE WHEN base + n <= 120 THEN [text] ELSE string_split(regexp_replace(text, '([.!?])(\s+)([A-Z0-9`*\[])', '\1' || chr(30) || '\2' || chr(31) || '\3', 'g'), chr(31)) END AS parts FROM sized),
+    parted AS (SELECT * EXCLUDE (parts), parts, s, {before_sql("list_transform(parts, lambda p: length(replace(p, chr(30), '')))")} AS ends FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS s FROM marked)),
+    sentences AS (SELECT page_id, section, base, u, s, string_split(parts[s], chr(30))[1] AS text, start + ends[s] AS start FROM parted),
+    told AS (SELECT *, regexp_extract_all(text, '\s*(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s])') AS ts FROM sentences),
+    room AS (SELECT *, CASE WHEN base + len(ts) <= 120 THEN greatest(len(ts), 1) ELSE 118 - base END AS each, {before_sql("list_transform(ts, lambda t: length(t))")} AS ends FROM told),
+    runs AS (SELECT *, unnest(range(0, len(ts), each)) AS t FROM room WHERE len(ts) > 0),
+    stretches AS (SELECT page_id, section, base, u, s, t, start + ends[t + 1] + length(ts[t + 1]) - length(regexp_replace(ts[t + 1], '^\s+', '')) AS a, start + ends[least(t + each, len(ts)) + 1] AS b, least(t + each, len(ts)) - t AS n FROM runs),
+    listed AS (SELECT page_id, any_value(section) AS section, any_value(base) AS base, list(a ORDER BY u, s, t) AS starts, list(b ORDER BY u, s, t) AS ends, list(n ORDER BY u, s, t) AS sizes FROM stretches GROUP BY page_id),
+    summed AS (SELECT *, len(sizes) AS n, {before_sql("sizes")} AS p FROM listed),
+    steps AS (SELECT page_id, section, base, starts, ends, n, p, 0 AS i, 0::BIGINT AS first, 0::BIGINT AS done FROM summed UNION ALL
+        SELECT page_id, section, base, starts, ends, n, p, i + 1, coalesce(list_min(list_filter(range(early, reach), lambda a: base + p[reach + 2] - p[a + 1] <= 120)), reach), reach FROM (
+            SELECT *, coalesce(list_min(list_filter(range(first, reach), lambda a: 2 + p[reach + 1] - p[a + 1] <= 20)), reach) AS early FROM (
+                SELECT *, greatest(done + 1, coalesce(list_max(list_filter(range(done + 1, n + 1), lambda b: base + p[b + 1] - p[first + 1] <= 120)), 0)) AS reach FROM steps WHERE done < n))),
+    windows AS (SELECT o.page_id, o.section, o.base, o.starts, o.ends, o.p, o.i, o.first, d.done FROM steps AS o JOIN steps AS d ON d.page_id = o.page_id AND d.i = o.i + 1)
+    SELECT page_id || '::' || lpad(i::VARCHAR, 4, '0') AS chunk_id, page_id AS document_id, i::INTEGER AS chunk_index, section, starts[first + 1]::BIGINT AS start, ends[done]::BIGINT AS "end", (base + p[done + 1] - p[first + 1])::INTEGER AS token_count FROM windows"""
+ORACLE_SQL["chunk_hierarchical"] = CHUNKED
