@@ -8,8 +8,7 @@ other, frequent tokens are looked up for those documents alone. What is below th
 leaves a task are k rows a query.
 
 A token's postings lie in as many shards as its documents do, so no key is hot. Queries go out in blocks of a fixed size,
-and over many shards with the k-th best scores of a first pass over each one's best block, which spares most shards their
-own search for it.
+and over many shards with the k-th best scores of a first pass over documents that have a query's rarest tokens.
 """
 
 from __future__ import annotations
@@ -30,7 +29,11 @@ from pyspark.sql import types as T
 BLOCK, SHARD_DOCS, SHARD_TOKENS = 64, 32_768, 8_000_000
 #: Queries that are shipped to executors at once.
 QUERIES = 4096
-#: Shards beyond which a first pass over each one's best block finds what the k-th best score is at least.
+#: Postings of a query's rarest tokens, for each wanted document, that a shard's search begins with.
+RARE = 100
+#: Tokens that are looked up between two looks at what a document can still reach: 1, 1, 1, 2, 3, 5 and so on.
+STEPS = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 1 << 30]
+#: Shards beyond which a first pass over documents with a query's rarest tokens finds what the k-th best score is at least.
 SEEDED = 16
 #: Scores are rounded to six digits before they are ordered, so bounds give way by more than that.
 SLACK = 1e-6
@@ -144,8 +147,8 @@ class Shard:
             dead[head["of_dead"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = True
         return cls(ids, lengths, norm, row, docs, flat("tfs").astype(float), np.append(0, np.cumsum(counts)), blocks, flat("block_tfs").astype(float), np.append(starts, len(docs)), dead)
 
-    def search(self, query: list[tuple[str, float]], k: int, floor: float, first_block: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Places and rounded scores of documents among the best k; none whose score is below floor, and not all that are ties."""
+    def search(self, query: list[tuple[str, float]], k: int, floor: float, seeds: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Places and rounded scores of all documents that may be among the best k and reach floor; with seeds only of some that are likely to."""
         own = [(self.row[t], idf) for t, idf in query if t in self.row]
         if not own:
             return np.zeros(0, np.int64), np.zeros(0)
@@ -160,7 +163,12 @@ class Shard:
         order = np.argsort(-whole, kind="stable")
         order = order[whole[order] > 0]
         found, score = np.zeros(0, np.int64), np.zeros(0)
-        first, size = 0, -(-k // BLOCK)
+        begun = self._rare(own, bound, at, term, idf, block, k)
+        if seeds:
+            return begun
+        if len(begun[1]) >= k:
+            floor = max(floor, np.partition(begun[1], len(begun[1]) - k)[len(begun[1]) - k])
+        first, size = 0, max(-(-k // BLOCK), 4)
         while first < len(order):
             part = order[first : first + size]
             part = part[whole[part] >= floor - SLACK]
@@ -172,24 +180,40 @@ class Shard:
                 floor = max(floor, np.partition(score, len(score) - k)[len(score) - k])
                 kept = score >= floor
                 found, score = found[kept], score[kept]
-            if first_block:
-                break
             first, size = first + size, size * 4
         return found, score
 
-    def _in_blocks(self, part: np.ndarray, bound: np.ndarray, at: np.ndarray, term: np.ndarray, idf: np.ndarray, block: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of some blocks that may reach floor, with their scores."""
+    def _rare(self, own: list[tuple[int, float]], bound: np.ndarray, at: np.ndarray, term: np.ndarray, idf: np.ndarray, block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that have most of the query's rarest tokens, with their scores: the k-th best of all is not below theirs."""
+        counts = np.array([self.cell_post[self.cells[r + 1]] - self.cell_post[self.cells[r]] for r, _ in own])
+        order = np.argsort(counts, kind="stable")
+        few = order[: np.searchsorted(np.cumsum(counts[order]), RARE * k) + 1]
+        post = np.concatenate([np.arange(self.cell_post[self.cells[own[t][0]]], self.cell_post[self.cells[own[t][0] + 1]]) for t in few])
+        weight = np.repeat(idf[few], counts[few])
+        self.scored += len(post)
+        docs, spot = np.unique(self.docs[post], return_inverse=True)
+        tf = self.tfs[post]
+        points = np.bincount(spot, weight * tf / (tf + self.norm[self.docs[post]]))
+        points[self.dead[docs]] = 0
+        best = docs[np.argsort(-points, kind="stable")[: 2 * k]]
+        only = np.zeros(len(self.dead), bool)
+        only[best] = True
+        return self._in_blocks(np.unique(best // BLOCK), bound, at, term, idf, block, -np.inf, only)
+
+    def _in_blocks(self, part: np.ndarray, bound: np.ndarray, at: np.ndarray, term: np.ndarray, idf: np.ndarray, block: np.ndarray, floor: float, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of some blocks that may reach floor, with their scores; of only, if that is given."""
         here = bound[:, part]
         by = np.argsort(here, 0)
-        below = np.cumsum(np.take_along_axis(here, by, 0), 0) < floor - SLACK  # all of these tokens together don't reach it
-        rest = np.where(below, np.take_along_axis(here, by, 0), 0).sum(0)
-        own, needed = np.empty_like(below), np.zeros(bound.shape, bool)
-        np.put_along_axis(own, by, ~below, 0)
-        needed[:, part] = own
+        sums = np.cumsum(np.take_along_axis(here, by, 0), 0)
+        few = (sums < floor - SLACK).sum(0)  # the tokens of least bounds, which together don't reach it
+        place = np.empty_like(by)
+        np.put_along_axis(place, by, np.arange(len(by))[:, None], 0)
+        depth = np.full(bound.shape, -1)  # how far a token is from the greatest of these; below 0: it is needed
+        depth[:, part] = few - 1 - place
         spot = np.full(bound.shape[1], -1)
         spot[part] = np.arange(len(part))
         inside = spot[block] >= 0
-        must = needed[term, block]
+        deep = depth[term, block]
         total = np.zeros(len(part) * BLOCK)
         seen = np.zeros(len(total), bool)
 
@@ -209,12 +233,19 @@ class Shard:
             total[:] += np.bincount(local, weight * tf / (tf + self.norm[doc]), len(total))
             seen[local] = True
 
-        add(np.flatnonzero(inside & must), None)
-        alive = seen & ~self.dead.reshape(-1, BLOCK)[part].ravel() & (total + np.repeat(rest, BLOCK) >= floor - SLACK)
-        if alive.any():
+        chosen = None if only is None else only.reshape(-1, BLOCK)[part].ravel()
+        add(np.flatnonzero(inside & (deep < 0)), chosen)
+        alive, lo = seen & ~self.dead.reshape(-1, BLOCK)[part].ravel(), 0
+        for hi in STEPS:  # the tokens that are not needed, from the greatest bound on, for documents that may still reach it
+            left = np.maximum(few - lo, 0)
+            rest = np.where(left > 0, np.take_along_axis(sums, np.maximum(left - 1, 0)[None], 0)[0], 0)
+            alive &= total + np.repeat(rest, BLOCK) >= floor - SLACK
+            if not left.any() or not alive.any():
+                break
             has = np.zeros(bound.shape[1], bool)
             has[part[np.flatnonzero(alive.reshape(-1, BLOCK).any(1))]] = True
-            add(np.flatnonzero(inside & ~must & has[block]), alive)
+            add(np.flatnonzero(inside & (deep >= lo) & (deep < hi) & has[block]), alive)
+            lo = hi
         local = np.flatnonzero(alive)
         score = np.round(total[local], 6)
         kept = score >= floor
