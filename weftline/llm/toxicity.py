@@ -64,8 +64,11 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     plain = pa.LargeStringArray.from_buffers(len(lower), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(flat.tobytes()))
     lists = pc.utf8_split_whitespace(plain)
     coded = lists.flatten().dictionary_encode()
-    row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    return row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    row, index, distinct = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy())), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    if "" in distinct:  # what stands before a text's first word or after its last is none
+        some = index != distinct.index("")
+        row, index = row[some], index[some]
+    return row, index, distinct
 
 
 @dataclass
