@@ -40,8 +40,6 @@ def test_many_needles_in_long_texts(spark, monkeypatch):
     docs, asked = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(needles, "n int, s string")
     monkeypatch.setattr(labels, "NEEDLE_CHARS", 1000)
     got = labels.find_spans(docs, asked.where("n <> 99999"), "id", "text", "n", "s")
-    want = labels.automaton_spans(docs, asked.where("n <> 99999").limit(0), "id", "text", "n", "s")
-    assert want.count() == 0
     rows = {tuple(r) for r in got.collect()}
     assert len(rows) == 20_000 and all(texts[i][1][a:b] == needles[n][1] for n, i, a, b in rows)
     short = {tuple(r) for r in labels.find_spans(docs, asked.where("n > 19990"), "id", "text", "n", "s").collect()}
