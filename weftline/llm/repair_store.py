@@ -13,7 +13,7 @@ after another, and the numbers of ids before a shard come from one small total a
 the attempt that wrote them, and only those that a finished task has named are read.
 
 Defined results: a null text counts as empty (the end id alone); rows of equal id follow each other in any order; null
-ids come first; a very long text is a shard of its own; columns other than the id and the text are ignored, whatever
+ids come first, and an id that is no whole number is refused; a vocabulary has fewer than 65,535 ids; a very long text is a shard of its own; columns other than the id and the text are ignored, whatever
 their names; an empty table gives an empty result.
 """
 
