@@ -31,6 +31,10 @@ from . import shared as S
 TRAIN_ROWS, VOCABULARY, LEAST_DOCS = 20_000, 2048, 8
 #: Weight of a toxic row, of squared weights, of squared score changes under swaps, steps of the descent, and rows that are made floats at once.
 TOXIC_ROW, RIDGE, SWAP, STEPS, ROWS = 2.0, 1e-4, 10.0, 400, 1024
+#: Pairs of a text and a feature that are sorted at once, about; a longer text has its own together.
+PAIRS = 500_000
+#: Bytes of text whose features, all of them, are counted at once, and whose places in the vocabulary are looked up at once.
+COUNTED, SCORED = 1 << 19, 1 << 20
 #: Words whose features a Python worker keeps, and the characters of the longest such word.
 MEMO_WORDS, MEMO_CHARACTERS = 200_000, 100
 #: Fixed group names in four languages; those of one line are swapped for each other.
@@ -104,14 +108,23 @@ class Lookup:
 def _pairs(texts: pa.Array, lookup) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a text and a feature in it, each once; lookup gives the features' numbers of a word."""
     row, index, distinct = words(texts)
+    once = np.unique(row * max(1, len(distinct)) + index)  # a text's distinct words: what follows is many times as large
+    row, index = np.divmod(once, max(1, len(distinct)))
     lists = [lookup(w) for w in distinct]
     n = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter((k for x in lists for k in x), np.int64, int(n.sum()))
     has = n[index] > 0 if len(index) else np.zeros(0, bool)
     row, index = row[has], index[has]
     width = int(flat.max()) + 1 if len(flat) else 1
-    pairs = np.unique(np.repeat(row, n[index]) * width + S.ragged(flat, S.excl(n)[index], n[index]))
-    return pairs // width, pairs % width
+    starts, counts = S.excl(n)[index], n[index]
+    # by texts of about PAIRS pairs together, so that only one part is sorted at a time
+    ends = np.cumsum(counts)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    begun = ends[first] - counts[first]
+    cuts = [*first[np.flatnonzero(np.diff(begun // PAIRS, prepend=-1))].tolist(), len(row)]
+    parts = [np.unique(np.repeat(row[a:b], counts[a:b]) * width + S.ragged(flat, starts[a:b], counts[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    pairs = np.concatenate([np.zeros(0, np.int64), *parts])
+    return np.divmod(pairs, width)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -141,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = labelled(docs, labels, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in S.blocks(batches, "text", 2 << 20):
+        for block in S.blocks(batches, "text", COUNTED):
             seen: dict[str, int] = {}
             row, at = _pairs(block.column("text"), lambda w: list({seen.setdefault(f, len(seen)) for f in features(w)}))
             toxic = block.column("toxic").to_numpy()
@@ -161,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of the sample by their features; and, with toxic -n, features that n swaps have taken away (below 0) and brought."""
         lookup = Lookup(place)
-        for block in S.blocks(batches, "text", 4 << 20):
+        for block in S.blocks(batches, "text", SCORED):
             row, at = _pairs(block.column("text"), lookup)
             edges = np.searchsorted(row, np.arange(block.num_rows + 1))
             changed: dict[tuple[int, ...], int] = {}
@@ -231,7 +244,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model = shipped.value
         lookup = Lookup({w: k for k, w in enumerate(model.weights)})
         weights = np.fromiter(model.weights.values(), np.float64, len(model.weights))
-        for block in S.blocks(batches, "text", 4 << 20):
+        for block in S.blocks(batches, "text", SCORED):
             row, at = _pairs(block.column("text"), lookup)
             z = model.bias + np.bincount(row, weights=weights[at] if len(at) else None, minlength=block.num_rows)
             yield pa.RecordBatch.from_arrays([*(block.column(k) for k in range(len(kept))), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*kept, "toxic_score"])
