@@ -8,7 +8,7 @@ those columns count; the order takes columns that a sample shows to be frequent
 hash. A block sorts its entries by column, parts each column's rows where sizes alone rule a link out, and passes on the
 rows that meet. Not all of a column's pairs enter the pattern: first every row with one of its rows (a star, linear in
 the column), and then only rows that the stars have not brought together. Large columns are dealt to tasks in tiles of
-TILE rows by TILE. Pairs whose parity sketches already differ in more places than the sizes allow are left out; that
+TILE rows by TILE, and a pair that meets in several columns is compared in one of them. Pairs whose parity sketches already differ in more places than the sizes allow are left out; that
 bound is exact: each shingle in just one of two sets flips one bit, so differing bits never exceed the sets' difference.
 
 Numbers: for the pairs of the pattern, whole rows are multiplied column block by column block. Overlap counts accumulate
@@ -377,30 +377,40 @@ def apart(lists: DataFrame, group: DataFrame, marks: DataFrame, percent: int, ch
     tiles = F.ceil(F.count(F.lit(1)) / TILE).cast("int")
     open_lists = rows.groupBy("list").agg(F.min("group").alias("g"), F.max("group").alias("h"), tiles.alias("tiles")).where("g <> h").select("list", "tiles")
     held = rows.join(open_lists, "list").join(marks.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # a pair belongs to the least of the lists that have both its rows, and there to one tile
+    before = held.groupBy("node").agg(F.sort_array(F.collect_list("list")).alias("lists"))  # a node's columns at most
+    held = held.join(before, "node").withColumn("earlier", F.filter("lists", lambda x: x < F.col("list")))
     # a row meets each tile of its list once: in the tile of both numbers
     spread = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "group", "n", "sketch")
+    spread = spread.select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "group", "n", "sketch", "own", "earlier")
 
-    def compare(table: list[tuple]) -> Iterator[tuple[int, int]]:
+    def compare(table: list[tuple], inside: bool) -> Iterator[tuple[int, int]]:
         width = min(len(x[3]) for x in table) // 8
         node, group, n = (np.array([x[k] for x in table], np.int64) for k in range(3))
-        return choose(node, group, n, np.stack([fold(np.frombuffer(x[3], np.uint64), width) for x in table]), percent)
+        tile, earlier = {x[0]: x[4] for x in table}, {x[0]: x[5] for x in table}
+        seen: dict[int, set[int]] = {}
+        for a, b in choose(node, group, n, np.stack([fold(np.frombuffer(x[3], np.uint64), width) for x in table]), percent):
+            if inside or tile[a] != tile[b]:
+                if a not in seen:
+                    seen[a] = set(earlier[a])
+                if seen[a].isdisjoint(earlier[b]):
+                    yield a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table, out = None, [], set()
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(7)]
-            for *name, node, group, n, mark in zip(*cols, strict=True):
+            cols = [batch.column(k).to_pylist() for k in range(9)]
+            for *name, node, group, n, mark, own, earlier in zip(*cols, strict=True):
                 if name != now:
                     if len(table) > 1:
-                        out.update(compare(table))
+                        out.update(compare(table, now[1] == now[2]))
                     now, table = name, []
-                table.append((node, group, n, mark))
+                table.append((node, group, n, mark, own, earlier))
             if len(out) > 100_000:
                 yield pairs_batch(out)
                 out = set()
         if len(table) > 1:
-            out.update(compare(table))
+            out.update(compare(table, now[1] == now[2]))
         yield pairs_batch(out)
 
     return spread.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high").mapInArrow(run, "a long, b long").distinct()
