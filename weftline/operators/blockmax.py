@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Documents of a block; documents and tokens that a shard has at most, one document at least.
-BLOCK, SHARD_DOCS, SHARD_TOKENS = 64, 32_768, 8_000_000
+BLOCK, SHARD_DOCS, SHARD_TOKENS = 64, 32_768, 1_500_000
+#: Documents whose tokens are counted at once while a shard is made: beyond them only postings are held.
+PIECE = 512
 #: Queries that are shipped to executors at once.
 QUERIES = 4096
 #: Postings of a query's rarest tokens, for each wanted document, that a shard's search begins with.
@@ -46,18 +48,36 @@ def schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(*x) for x in named])
 
 
-def _shard(name: str, ids: pa.Array, lists: pa.ListArray, only: pa.Array | None, out: pa.Schema) -> pa.RecordBatch:
-    """The rows of one shard: documents by length, postings by token and document."""
+def _piece(batch: pa.RecordBatch, first: int, only: pa.Array | None) -> tuple:
+    """ids, lengths, distinct tokens, and of every posting its token, its document (from first on) and its frequency."""
+    lists = batch.column(1)
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.argsort(sizes, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
     coded = lists.flatten().dictionary_encode()
-    token, doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(place, sizes)
+    token, doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
     if only is not None:
         wanted = pc.is_in(coded.dictionary, only).to_numpy(zero_copy_only=False)
         token, doc = token[wanted[token]], doc[wanted[token]]
-    post, tf = np.unique(token * len(order) + doc, return_counts=True)
+    post, tf = np.unique(token * max(1, len(sizes)) + doc, return_counts=True)
+    token, doc = np.divmod(post, max(1, len(sizes)))
+    used, token = np.unique(token, return_inverse=True)
+    return batch.column(0), sizes, coded.dictionary.take(pa.array(used)), token.astype(np.int32), (first + doc).astype(np.int32), tf.astype(np.int32)
+
+
+def _shard(name: str, pieces: list[tuple], out: pa.Schema) -> list[pa.RecordBatch]:
+    """The rows of one shard: documents by length, postings by token and document. The pieces are used up."""
+    ids, sizes = pa.concat_arrays([x[0] for x in pieces]), np.concatenate([x[1] for x in pieces])
+    coded = pa.concat_arrays([x[2] for x in pieces]).dictionary_encode()
+    of_piece = np.append(0, np.cumsum([len(x[2]) for x in pieces]))
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(sizes, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    post = np.concatenate([index[a + x[3]].astype(np.int64) * len(order) + place[x[4]] for a, x in zip(of_piece.tolist(), pieces, strict=False)])
+    tf = np.concatenate([x[5] for x in pieces])
+    pieces.clear()
+    by = np.argsort(post)
+    post, tf = post[by], tf[by]
+    del by
     token, doc = np.divmod(post, max(1, len(order)))
     starts = np.flatnonzero(np.diff(token, prepend=-1))
     cell = np.flatnonzero(np.diff(token * len(order) + doc // BLOCK, prepend=-1))
@@ -70,7 +90,7 @@ def _shard(name: str, ids: pa.Array, lists: pa.ListArray, only: pa.Array | None,
     whole = np.array([0, len(order)])
     own = pa.ListArray.from_arrays(pa.array(whole.astype(np.int32)), ids.take(pa.array(order)))
     head = [pa.array([name]), pa.nulls(1, pa.string()), own, lists_of(sizes[order], whole), *(pa.nulls(1, out.field(c).type) for c in ("docs", "tfs", "blocks", "block_tfs"))]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([a.cast(f.type), b.cast(f.type)]) for a, b, f in zip(head, postings, out, strict=True)], schema=out)
+    return [pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(rows, out, strict=True)], schema=out) for rows in (head, postings)]
 
 
 def shards(docs: DataFrame, id_col: str, tokens: Column, only: list[str] | None = None, prefix: str = "", docs_each: int = SHARD_DOCS) -> DataFrame:
@@ -83,22 +103,19 @@ def shards(docs: DataFrame, id_col: str, tokens: Column, only: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, few = to_arrow_schema(made), pa.array(shipped.value, pa.string()) if shipped else None
         held, rows, size, n = [], 0, 0, 0
-
-        def close() -> pa.RecordBatch:
-            ids, lists = (pa.concat_arrays([b.column(c) for b in held]) for c in (0, 1))
-            return _shard(f"{prefix}{TaskContext.get().partitionId()}-{n}", ids, lists, few, out)
-
+        part = TaskContext.get().partitionId()
         for whole in batches:
-            for first in range(0, whole.num_rows, 1024):
-                batch = whole.slice(first, 1024)
-                held.append(batch)
+            for first in range(0, whole.num_rows, PIECE):
+                batch = whole.slice(first, PIECE)
+                held.append(_piece(batch, rows, few))
                 rows += batch.num_rows
-                size += pc.sum(pc.list_value_length(batch.column(1))).as_py() or 0
+                size += int(held[-1][1].sum())
                 if rows >= docs_each or size >= SHARD_TOKENS:
-                    yield close()
-                    held, rows, size, n = [], 0, 0, n + 1
+                    yield from _shard(f"{prefix}{part}-{n}", held, out)
+                    rows, size, n = 0, 0, n + 1
+                    pa.default_memory_pool().release_unused()
         if held:
-            yield close()
+            yield from _shard(f"{prefix}{part}-{n}", held, out)
 
     return docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).mapInArrow(run, made)
 
@@ -266,9 +283,10 @@ class Index:
         return cls(table, tokens(table), corpus(table))
 
 
-def top_k(index: Index, wanted: DataFrame, k: int, k1: float, b: float, seen: Callable[[str, int], None] | None = None) -> DataFrame:
+def top_k(index: Index, wanted: DataFrame, k: int, k1: float, b: float, seen: Callable[[str, int], None] | None = None, counts: bool = False) -> DataFrame:
     """query_id, id and score of each query's best k of every shard, the best k of all among them. wanted: query_id, token, once each.
 
+    With counts a score is the number of the query's tokens that a document has, whatever k1 and b.
     seen, for tests in one process, is told the numbers of postings that queries met and that were scored.
     """
     spark = index.table.sparkSession
@@ -276,6 +294,8 @@ def top_k(index: Index, wanted: DataFrame, k: int, k1: float, b: float, seen: Ca
     id_type, query_type = index.table.schema["ids"].dataType.elementType, wanted.schema["query_id"].dataType
     made = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if counts:
+        idf, k1, b = F.lit(1.0), 0.0, 0.0
     queries = wanted.join(index.tokens, "token").groupBy("query_id").agg(F.collect_list(F.struct("token", idf.alias("idf"))).alias("terms"))
     parts = max(1, -(-wanted.select("query_id").distinct().count() // QUERIES))
     outs = []
@@ -310,6 +330,7 @@ def top_k(index: Index, wanted: DataFrame, k: int, k1: float, b: float, seen: Ca
                     query.append(np.full(len(found), q))
                     place.append(found)
                     score.append(points)
+                pa.default_memory_pool().release_unused()
                 if shard and seen:
                     seen("met", shard.met), seen("scored", shard.scored)
                 query = np.concatenate([np.zeros(0, np.int64), *query])
