@@ -92,7 +92,23 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "rank", (-F.col("score")).alias("distance"))
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, query_id: str, query_col: str, where: dict | None = None, mode: str = "compat", analyze: Analyzer = terms, index: Index | None = None) -> DataFrame:
+def searchable(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, analyze: Analyzer = terms, allowed: DataFrame | None = None) -> blockmax.Index:
+    """Shards of the documents for the wanted tokens (all tokens, if those are too many); of those allowed, with the statistics of all."""
+    names = [r["token"] for r in wanted.select("token").distinct().limit(ONLY + 1).collect()]
+    only = names if len(names) <= ONLY else None
+    shards = lambda own: settled(blockmax.shards(own, id_col, analyze(F.coalesce(F.col(text_col), F.lit(""))), only))
+    built = blockmax.Index.of(shards(docs))
+    return built if allowed is None else blockmax.Index(shards(allowed), built.tokens, built.corpus)
+
+
+def shared(index: blockmax.Index, wanted: DataFrame, k: int) -> DataFrame:
+    """The best k of each query by the share of its distinct terms that a document has, to six digits."""
+    size = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
+    both = blockmax.top_k(index, wanted, k, K1, B, counts=True).join(F.broadcast(size), "query_id")  # a row a query
+    return ranked(both.select("query_id", "id", F.round(F.col("score") / F.col("terms"), 6).alias("score")), k)
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, query_id: str, query_col: str, where: dict | None = None, mode: str = "compat", analyze: Analyzer = terms, index: Index | blockmax.Index | None = None) -> DataFrame:
     """The best k documents of each query. compat: rank OVERFETCH * k, then filter, then cut; exact: filter, then rank.
 
     Statistics are those of the whole corpus either way. Without an index, shards with block bounds are made of the documents
@@ -102,13 +118,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: st
     n = k if where is None or mode == "exact" else OVERFETCH * k
     allowed = None if where is None else fl.apply(docs, where=where)
     if index is None:
-        names = [r["token"] for r in wanted.select("token").distinct().limit(ONLY + 1).collect()]
-        only = names if len(names) <= ONLY else None
-        shards = lambda own: settled(blockmax.shards(own, id_col, analyze(F.coalesce(F.col(text_col), F.lit(""))), only))
-        built = blockmax.Index.of(shards(docs))
+        index = searchable(docs, wanted, id_col, text_col, analyze, allowed if mode == "exact" else None)
+        scored = blockmax.top_k(index, wanted, n, K1, B)
+    elif isinstance(index, blockmax.Index):
         if allowed is not None and mode == "exact":
-            built = blockmax.Index(shards(allowed), built.tokens, built.corpus)
-        scored = blockmax.top_k(built, wanted, n, K1, B)
+            raise ValueError("an exact filter needs shards of what it allows")
+        scored = blockmax.top_k(index, wanted, n, K1, B)
     else:
         scored = scores(index, wanted)
         if allowed is not None and mode == "exact":

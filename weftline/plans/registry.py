@@ -66,13 +66,10 @@ def keyword(read, k: int = K, queries: DataFrame | None = None, **more) -> DataF
     return bm25.top_k(read("documents"), queries if queries is not None else passages(read), k, "doc_id", "text", "query_id", "query", **more)
 
 
-def shared_terms(read, k: int = K, queries: DataFrame | None = None) -> DataFrame:
+def shared_terms(read, k: int = K, queries: DataFrame | None = None, index=None) -> DataFrame:
     """A second component: the share of the query's distinct terms that a document has."""
     wanted = bm25.query_terms(queries if queries is not None else passages(read), "query_id", "query")
-    has = read("documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(tx.terms("text"))).alias("token"))
-    size = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    met = has.join(wanted, "token").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("both"))
-    return bm25.ranked(met.join(size, "query_id").select("query_id", "id", F.round(F.col("both") / F.col("n"), 6).alias("score")), k)
+    return bm25.shared(index or bm25.searchable(read("documents"), wanted, "doc_id", "text"), wanted, k)
 
 
 SHARED = f"""
@@ -84,7 +81,10 @@ SHARED = f"""
 
 
 def components(read, queries: DataFrame | None = None) -> dict[str, DataFrame]:
-    return {"bm25": keyword(read, queries=queries), "shared": shared_terms(read, queries=queries)}
+    """Both components over the same shards."""
+    wanted = bm25.query_terms(queries if queries is not None else passages(read), "query_id", "query")
+    index = bm25.searchable(read("documents"), wanted, "doc_id", "text")
+    return {"bm25": keyword(read, queries=queries, index=index), "shared": shared_terms(read, queries=queries, index=index)}
 
 
 def integer(df: DataFrame, *cols: str) -> DataFrame:
