@@ -34,3 +34,10 @@ def test_shared_terms_by_shards_equal_counts(spark):
     want = bm25.ranked(met.join(size, "query_id").select("query_id", "id", F.round(F.col("both") / F.col("n"), 6).alias("score")), 7)
     got = bm25.shared(bm25.searchable(docs, wanted, "id", "text"), wanted, 7)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_frequencies_count_documents_without_a_shuffle_of_postings(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa"), (2, "bb"), (2, "bb"), (3, None)], "id int, text string")
+    tokens = bm25.build(docs, "id", "text").tokens
+    assert {r.token: r.df for r in tokens.collect()} == {"aa": 1, "bb": 3}
+    assert tokens._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1

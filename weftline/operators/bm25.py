@@ -68,7 +68,11 @@ def build(docs: DataFrame, id_col: str, text_col: str, analyze: Analyzer = terms
     if only is not None:
         each = each.join(only.select("token").distinct(), "token", "left_semi")
     postings = each.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # of documents' distinct tokens, so that frequencies alone shuffle a row for each distinct token of a task
+    distinct = own.select(F.explode(F.array_distinct("tokens")).alias("token"))
+    if only is not None:
+        distinct = distinct.join(only.select("token").distinct(), "token", "left_semi")
+    tokens = distinct.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     return Index(postings, sizes, tokens, corpus)
 
