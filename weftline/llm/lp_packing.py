@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
+#: Bytes of text that are encoded at once: workers stay small beside the JVM's heap.
+PACKED = 1 << 20
+
 CAPACITY = 1024
 #: Steps of the weights in a round of the program, rounds, and the step's size.
 STEPS, ROUNDS, RATE = 200, 4, 0.3
@@ -161,7 +164,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, made = S.rank_encoder(path), 1_000_003 * TaskContext.get().partitionId()
-        for block in S.blocks(batches, "text"):
+        for block in S.blocks(batches, "text", PACKED):
             ids, n = encode(block.column("text"))
             row, piece, start, length, crc = [], [], [], [], []
             data, end, at = ids.astype("<u4").tobytes(), S.pack([end_id]), 0

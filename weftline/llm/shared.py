@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 #: Bytes of text that a Python worker handles at once; a longer text makes a block of its own.
 BLOCK_BYTES = 6 << 20
 #: Bytes that a Python worker's encoded pieces may take, about; beyond it the memo starts anew. Longer pieces are not kept.
-MEMO_BYTES, MEMO_CHARACTERS = 64 << 20, 64
+MEMO_BYTES, MEMO_CHARACTERS = 32 << 20, 64
 
 
 def shared_root(spark: SparkSession) -> str:
