@@ -120,6 +120,74 @@ def shards(docs: DataFrame, id_col: str, tokens: Column, only: list[str] | None
     return docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).mapInArrow(run, made)
 
 
+def _merged(name: str, postings: pa.Table, heads: pa.Table, out: pa.Schema) -> list[pa.RecordBatch]:
+    """One shard of the live documents of some; heads: of (their names), ids, lengths and the places that are dead."""
+    flat = lambda table, c: table[c].combine_chunks().flatten()
+    sizes = lambda table, c: pc.fill_null(pc.list_value_length(table[c]), 0).to_numpy().astype(np.int64)
+    begins = np.append(0, np.cumsum(sizes(heads, "ids")))
+    live = np.ones(begins[-1], bool)
+    live[np.repeat(begins[:-1], sizes(heads, "dead")) + flat(heads, "dead").to_numpy(zero_copy_only=False).astype(np.int64)] = False
+    if not live.any():
+        return []
+    shard = pc.index_in(postings["shard"], heads["of"].combine_chunks()).to_numpy().astype(np.int64)
+    counts = sizes(postings, "docs")
+    doc = np.repeat(begins[shard], counts) + flat(postings, "docs").to_numpy(zero_copy_only=False)
+    kept = live[doc]
+    coded = postings["token"].combine_chunks().dictionary_encode()
+    used, token = np.unique(np.repeat(coded.indices.to_numpy(zero_copy_only=False), counts)[kept], return_inverse=True)
+    place, tf = (np.cumsum(live) - 1)[doc[kept]], flat(postings, "tfs").to_numpy(zero_copy_only=False)[kept]
+    lengths = flat(heads, "lengths").to_numpy(zero_copy_only=False)[live]
+    return _shard(name, [(flat(heads, "ids").filter(pa.array(live)), lengths.astype(np.int64), coded.dictionary.take(pa.array(used)), token.astype(np.int32), place.astype(np.int32), tf)], out)
+
+
+def merge(table: DataFrame, dead: DataFrame | None = None, prefix: str = "", docs_each: int = SHARD_DOCS, tokens_each: int = SHARD_TOKENS) -> DataFrame:
+    """Shards of a table's live documents: those of up to half a shard together, up to one and a half, the others each alone.
+
+    Postings go from shard to shard as they are: a row for each token of a shard is shuffled, not one for each of its places.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = table.schema
+    heads = table.where("token IS NULL").select("shard", "ids", "lengths")
+    if dead is None:
+        heads = heads.withColumn("dead", F.array().cast("array<int>"))
+    else:
+        heads = heads.join(dead.groupBy("shard").agg(F.collect_set("place").alias("dead")), "shard", "left").withColumn("dead", F.coalesce("dead", F.array().cast("array<int>")))  # a shard's documents at most
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    of_size = heads.select("shard", (F.size("ids") - F.size("dead")).alias("docs"), (total(F.col("lengths")) - total(F.transform("dead", lambda p: F.get("lengths", p)))).alias("words"))
+    small = (F.col("docs") * 2 <= docs_each) & (F.col("words") * 2 <= tokens_each)
+    before = Window.partitionBy("small").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    upto = lambda c, each: F.floor(F.coalesce(F.sum(c).over(before), F.lit(0)) / each).cast("string")
+    group = F.when(F.col("small"), F.concat_ws(".", upto("docs", docs_each), upto("words", tokens_each))).otherwise(F.concat(F.lit("="), "shard"))
+    groups = of_size.withColumn("small", small).select("shard", F.concat(F.lit(prefix), group).alias("to"))
+
+    def run(key: tuple, postings: pa.Table, heads: pa.Table) -> pa.Table:
+        rows = pa.Table.from_batches(_merged(key[0].as_py(), postings, heads, to_arrow_schema(made)), to_arrow_schema(made))
+        pa.default_memory_pool().release_unused()
+        return rows
+
+    own = table.where("token IS NOT NULL").select("shard", "token", "docs", "tfs").join(F.broadcast(groups), "shard")  # a row for each shard
+    of = heads.select(F.col("shard").alias("of"), "ids", "lengths", "dead").join(F.broadcast(groups.select(F.col("shard").alias("of"), F.col("to").alias("into"))), "of")
+    return own.groupBy("to").cogroup(of.groupBy("into")).applyInArrow(run, made)
+
+
+def lost(table: DataFrame, dead: DataFrame) -> DataFrame:
+    """token and df: in how many of the dead(shard, place) documents a token of a shard is."""
+    places = dead.groupBy(F.col("shard").alias("of")).agg(F.collect_set("place").alias("places"))  # a shard's documents at most
+    own = table.where("token IS NOT NULL").select("shard", "token", "docs").join(F.broadcast(places.select(F.col("of").alias("shard"))), "shard", "left_semi")  # a row for each shard
+
+    def run(postings: pa.Table, places: pa.Table) -> pa.Table:
+        docs, at = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for t, c in ((postings, "docs"), (places, "places")))
+        gone = np.zeros(1 + max(docs.max(initial=0), at.max(initial=0)), bool)
+        gone[at] = True
+        token = np.repeat(np.arange(postings.num_rows), pc.list_value_length(postings["docs"]).to_numpy())
+        df = np.bincount(token[gone[docs]], minlength=postings.num_rows)
+        some = np.flatnonzero(df)
+        return pa.table([postings["token"].take(pa.array(some)), pa.array(df[some])], ["token", "df"])
+
+    return own.groupBy("shard").cogroup(places.groupBy("of")).applyInArrow(run, "token string, df long")
+
+
 def tokens(table: DataFrame) -> DataFrame:
     """token and df over all shards."""
     return table.where("token IS NOT NULL").groupBy("token").agg(F.sum(F.size("docs")).alias("df"))

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ..functions.text import terms
 from ..operators import blockmax, bm25
 from .files import Folder
-from .tables import settled
 from .versioned import REMEMBERED, Conflict
 
 #: Segments of one tier that are merged into one, and how many times larger the next tier's segments are.
@@ -63,9 +62,9 @@ class SegmentedIndex:
     def _shards(self, names) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.folder.path}/segments/{n}" for n in names))
 
-    def _live(self, state: State, names=None) -> DataFrame:
+    def _live(self, state: State) -> DataFrame:
         """shard, place, id and length of the documents that are not gone."""
-        heads = self._shards(names or state.segments).where("token IS NULL")
+        heads = self._shards(state.segments).where("token IS NULL")
         each = heads.select("shard", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "x")).select("shard", "place", F.col("x.ids").alias("id"), F.col("x.lengths").alias("length"))
         gone = self._read(state.gone, GONE)
         return each.join(gone, ["shard", "place"], "left_anti") if state.gone else each
@@ -77,18 +76,11 @@ class SegmentedIndex:
 
         Of several rows of one id one is kept, by content; rows without an id are refused.
         """
-        own = None
-        if docs is not None:
-            one = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text").desc()))
-            own = settled(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("one", one).where("one = 1").drop("one"))
-            if not own.where("id IS NULL").isEmpty():
-                raise ValueError("documents without an id")
-        ids = own.select("id") if own is not None else deleted.select(F.col(id_col).alias("id")).limit(0)
-        if deleted is not None:
-            ids = ids.union(deleted.select(F.col(id_col).alias("id")))
         name = f"s{uuid.uuid4().hex}"
-        if own is not None:
-            blockmax.shards(own, "id", self.analyze(F.col("text")), prefix=f"{name}-").write.parquet(f"{self.folder.path}/segments/{name}")
+        ids = self._segment(name, docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))) if docs is not None else None
+        if deleted is not None:
+            gone = deleted.select(F.col(id_col).alias("id"))
+            ids = gone if ids is None else ids.union(gone)
         for _ in range(20):
             state = self.state()
             if batch is not None and batch in state.applied:
@@ -97,7 +89,7 @@ class SegmentedIndex:
             new = State(state.number + 1, dict(state.segments), list(state.gone), list(state.differences), state.n, state.length, (state.applied + [batch] * (batch is not None))[-REMEMBERED:])
             changes = [f"gone/{uuid.uuid4().hex}", f"differences/{uuid.uuid4().hex}"]
             minus = self._lose(state, new, ids, changes[0]) if state.segments else None
-            plus = self._gain(new, name) if own is not None else None
+            plus = self._gain(new, name) if docs is not None else None
             parts = [x for x in (minus, plus) if x is not None]
             if parts:
                 both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -109,6 +101,25 @@ class SegmentedIndex:
                 self.folder.delete(made)
         raise Conflict(f"{self.folder.path}: twenty other versions came first")
 
+    def _segment(self, name: str, docs: DataFrame) -> DataFrame:
+        """Write the segment of docs(id, text) and return its ids.
+
+        Documents are read once and not dealt out; only if the segment then has an id twice it is written again, of one row an id.
+        """
+        folder = f"segments/{name}"
+        write = lambda own: blockmax.shards(own, "id", self.analyze(F.col("text")), prefix=f"{name}-").write.parquet(f"{self.folder.path}/{folder}")
+        ids = lambda: self._shards([name]).where("token IS NULL").select(F.explode("ids").alias("id"))
+        write(docs)
+        bad, twice = ids().groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("id").isNull()), F.count_if(F.col("n") > 1)).first()
+        if bad or twice:
+            self.folder.delete(folder)
+        if bad:
+            raise ValueError("documents without an id")
+        if twice:
+            one = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text").desc()))
+            write(docs.withColumn("one", one).where("one = 1").drop("one"))
+        return ids()
+
     def _gain(self, new: State, name: str) -> DataFrame | None:
         """Count the new segment in; its tokens' frequencies."""
         shards = self._shards([name])
@@ -129,9 +140,7 @@ class SegmentedIndex:
             return None
         new.gone.append(folder)
         new.n, new.length = new.n - n, new.length - length
-        places = lost.groupBy("shard").agg(F.collect_set("place").alias("places"))  # a shard's documents at most
-        met = self._shards(state.segments).where("token IS NOT NULL").join(places, "shard").select("token", (-F.size(F.array_intersect("docs", "places"))).cast("long").alias("df"))
-        return met.where("df <> 0")
+        return blockmax.lost(self._shards(state.segments), lost).select("token", (-F.col("df")).alias("df"))
 
     # ---------------------------------------------------------------- searching
 
@@ -170,15 +179,11 @@ class SegmentedIndex:
         state, names = self.state(), names or self.due()
         if not names:
             return False
-        live = settled(self._live(state, names))
-        each = self._shards(names).where("token IS NOT NULL").select("shard", "token", F.explode(F.arrays_zip("docs", "tfs")).alias("x")).select("shard", F.col("x.docs").alias("place"), F.array_repeat("token", F.col("x.tfs")).alias("tokens"))
-        said = each.groupBy("shard", "place").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-        docs = live.join(said, ["shard", "place"], "left").select("id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
         name, folder = f"m{uuid.uuid4().hex}", f"differences/{uuid.uuid4().hex}"
-        blockmax.shards(docs, "id", F.col("tokens"), prefix=f"{name}-").write.parquet(f"{self.folder.path}/segments/{name}")
+        blockmax.merge(self._shards(names), self._read(state.gone, GONE) if state.gone else None, f"{name}-").write.parquet(f"{self.folder.path}/segments/{name}")
         self._read(state.differences, DIFFERENCES).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0").write.parquet(f"{self.folder.path}/{folder}")
         kept = {n: d for n, d in state.segments.items() if n not in names}
-        n = live.count()
+        n = self._shards([name]).where("token IS NULL").agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
         gone = []
         if state.gone and kept:  # those of the segments that stay
             gone = [f"gone/{uuid.uuid4().hex}"]
