@@ -256,10 +256,8 @@ def chunk_histogram(read):
 
 @query()
 def chunk_hierarchical(read):
-    blocks, _ = html.html_blocks(read("pages"), ["article"], closed=True)
-    titles = html.metadata(read("pages"), closed=True).select("page_id", "title")
-    docs = html.markdown(blocks).join(titles, "page_id").select(F.col("page_id").alias("document_id"), "title", "markdown")
-    got, _ = chunking.chunk_markdown(docs, max_tokens=120, overlap_tokens=20)
+    docs, _ = html.documents(read("pages").where("page_id IS NOT NULL"), ["article"], closed=True)
+    got, _ = chunking.chunk_markdown(docs.withColumnRenamed("page_id", "document_id"), max_tokens=120, overlap_tokens=20)
     return got.select("chunk_id", "document_id", "chunk_index", F.array_join("heading_path", " > ").alias("section"), "start", "end", "token_count")
 
 
